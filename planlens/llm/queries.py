@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from planlens.llm import quality_rules
+from planlens.llm import quality_rules, secret_scan
 from planlens.llm.common import table
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules.op1(table(spark, d, "documents")),
+    "op7_secret_scan": lambda spark, d: secret_scan.op7(table(spark, d, "documents")),
 }
 
 ORACLE = {

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from planlens.llm import quality_rules, secret_scan
+from planlens.llm import packing, quality_rules, secret_scan, token_files
 from planlens.llm.common import table
 
+
+def tokenizer(name: str) -> str:
+    """Where the vocabulary file lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules.op1(table(spark, d, "documents")),
+    "op5_packing": lambda spark, d: packing.op5(table(spark, d, "documents"), tokenizer("word_bpe_49k.json")),
+    "op6_token_files": lambda spark, d: token_files.op6(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json")),
     "op7_secret_scan": lambda spark, d: secret_scan.op7(table(spark, d, "documents")),
 }
 

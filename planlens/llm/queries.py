@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planlens.llm import mixing, packing, quality_rules, secret_scan, token_files
+from planlens.llm import mixing, packing, quality_rules, secret_scan, token_counts, token_files
 from planlens.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op5_packing": lambda spark, d: packing.op5(table(spark, d, "documents"), tokenizer("word_bpe_49k.json")),
     "op6_token_files": lambda spark, d: token_files.op6(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json")),
     "op7_secret_scan": lambda spark, d: secret_scan.op7(table(spark, d, "documents")),
+    "op8_token_counts": lambda spark, d: token_counts.op8(table(spark, d, "documents"), tokenizer("piece_bpe_32k.model")),
 }
 
 ORACLE = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planlens.llm import mixing, packing, quality_rules, secret_scan, token_counts, token_files
+from planlens.llm import mixing, near_dup, packing, quality_rules, secret_scan, token_counts, token_files
 from planlens.llm.common import table
 
 
@@ -15,6 +15,7 @@ def tokenizer(name: str) -> str:
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules.op1(table(spark, d, "documents")),
+    "op2_near_dup": lambda spark, d: near_dup.op2(table(spark, d, "documents")),
     "op3_mixing": lambda spark, d: mixing.op3(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.op5(table(spark, d, "documents"), tokenizer("word_bpe_49k.json")),
     "op6_token_files": lambda spark, d: token_files.op6(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json")),

@@ -1,7 +1,8 @@
 """Token ids of whole texts as the tokenizers library gives them, with repeated parts encoded once.
 
 A text is cut only where no token can reach over the cut, so the ids of the parts, one after the other, are the ids of
-the text. Parts seen before come from a bounded table; all others, and all long ones, go to the library.
+the text. Parts seen before come from a bounded table; all others, and all long ones, are cut further where that is
+sure not to matter, and what is still unknown goes to the library.
 """
 
 from __future__ import annotations
@@ -10,27 +11,44 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Largest number of parts kept, and of bytes or characters in one that is kept.
-KEPT, LONGEST = 250_000, 48
+KEPT, LONGEST = 700_000, 48
 #: Characters of text that are encoded together.
-AT_ONCE = 2_000_000
+AT_ONCE = 8_000_000
 
-_SPACE_RUN = re.compile(r"\s ")
+#: White space that is next to other white space, at an end, or neither a space nor a line end; the mark used for cutting.
+_ODD = r"^[ \n]|[ \n][ \n]|[ \n]$|[\t\v\f\r\x00\x1c-\x1f\x{85}]|[^\P{Z} ]"
+#: Words with single line ends between them; a word and the punctuation after it.
+_LINES = re.compile(r" ?\S+(?:\n\S+)*")
+_TAIL = re.compile(r"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)")
 
 
-def words(text: str) -> list[bytes]:
-    """Parts for tokenizers that drop white space: whatever lies between ASCII white space."""
-    return text.encode("utf-8", "replace").split()
+def words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Parts for tokenizers that drop white space: whatever lies between ASCII white space; and where texts begin and end."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    return lists.values.cast(pa.large_string()), lists.offsets.to_numpy().astype(np.int64)
 
 
-def spaced_words(text: str) -> list[str]:
-    """Parts for byte-level tokenizers: cuts before each space that follows a character other than white space."""
+def spaced_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Parts for byte-level tokenizers: cuts before each space, and around each line end, that lies between other characters."""
+    a = pa.array(texts, pa.large_string())
+    odd = pc.match_substring_regex(a, _ODD).to_numpy(zero_copy_only=False)
+    plain = pc.replace_substring(pc.replace_substring(a, " ", "\0 "), "\n", "\0\n\0")
+    if odd.any():
+        plain = pa.array(["" if o else t for o, t in zip(odd, plain.to_pylist())], pa.large_string())
+    lists = pc.split_pattern(plain, "\0")
+    if not odd.any():
+        return lists.values.cast(pa.large_string()), lists.offsets.to_numpy().astype(np.int64)
+    every = [_odd_parts(t) if o else x for o, t, x in zip(odd, texts, lists.to_pylist())]
+    return pa.array([p for x in every for p in x], pa.large_string()), np.cumsum([0, *map(len, every)])
+
+
+def _odd_parts(text: str) -> list[str]:
+    """Cuts before each space that follows a character other than white space, for any text."""
     first, *rest = text.split(" ")
-    if not rest:
-        return [text] if text else []
-    if first and not _SPACE_RUN.search(text):
-        return [first, *[" " + x for x in rest]]
     parts, now = [], first
     for x in rest:
         if now and not now[-1].isspace():
@@ -41,46 +59,100 @@ def spaced_words(text: str) -> list[str]:
     return [*parts, now]
 
 
+def finer(part: str, lower: bool) -> list[str]:
+    """The part in pieces between which no token can reach: at single line ends, and between a letter and punctuation.
+
+    lower: the tokenizer reads lower case, so ASCII pieces may be lowered.
+    """
+    if part.isalpha():
+        return [part.lower() if lower and part.isascii() else part]
+    if "<|" in part or not _LINES.fullmatch(part):
+        return [part]
+    out = []
+    for k, line in enumerate(part.split("\n")):
+        if k:
+            out.append("\n")
+        m = _TAIL.fullmatch(line)
+        for x in m.groups() if m else (line,):
+            out.append(x.lower() if lower and x.isascii() else x)
+    return out
+
+
 class Encoder:
-    """Ids of texts; at most KEPT parts are kept between calls."""
+    """Ids of texts; about KEPT parts are kept between calls, those used again first."""
 
     def __init__(self, path: str, cut, kept: int = KEPT):
         from tokenizers import Tokenizer
 
-        self.library, self.cut, self.kept = Tokenizer.from_file(path), cut, kept
+        self.library, self.cut, self.kept, self.lower = Tokenizer.from_file(path), cut, kept, cut is words
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict = {}
+        self.index: dict[str, int] = {}
+        self.names: list = []
         self.ids, self.starts = array("I"), array("Q", [0])
+        self.used = np.zeros(0, np.int64)
 
-    def _learn(self, parts: list) -> None:
-        texts = [p.decode("utf-8") if isinstance(p, bytes) else p for p in parts]
-        for a in range(0, len(parts), 20_000):
-            for p, e in zip(parts[a : a + 20_000], self.library.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)):
-                self.index[p] = len(self.starts) - 1
-                self.ids.extend(e.ids)
-                self.starts.append(len(self.ids))
+    def _tidy(self) -> None:
+        """Only parts used twice stay, and none if that is most of them."""
+        keep = [k for k in np.flatnonzero(self.used >= 2).tolist() if self.names[k] is not None]
+        names, ids, starts = self.names, self.ids, self.starts
+        self._clear()
+        if len(keep) > 0.6 * self.kept:
+            return
+        for k in keep:
+            self._add(names[k], ids[starts[k] : starts[k + 1]])
+
+    def _add(self, part: str, ids) -> None:
+        self.index[part] = len(self.names)
+        self.names.append(part)
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+
+    def _learn(self, parts: list[str]) -> None:
+        cut = [(p, finer(p, self.lower)) for p in parts]
+        index, ids, starts = self.index, self.ids, self.starts
+        ask = list({x for p, xs in cut for x in xs if x not in index})
+        for a in range(0, len(ask), 10_000):
+            some = ask[a : a + 10_000]
+            for x, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                self._add(x, e.ids)
+        for p, xs in cut:
+            if len(xs) > 1:
+                own = array("I")
+                for k in map(index.__getitem__, xs):
+                    own += ids[starts[k] : starts[k + 1]]
+                self._add(p, own)
+            elif xs[0] is not p:
+                index[p] = index[xs[0]]
 
     def _some(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.cut(t) for t in texts]
-        every = [p for parts in cut for p in parts]
-        new = {p for p in every if p not in self.index}
-        if len(self.index) + len(new) > self.kept:
-            self._clear()
-            new = set(every)
-        self._learn(list(new))
-        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        parts, bounds = self.cut(texts)
+        coded = parts.dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        new = [p for p in names if p not in self.index]
+        if len(self.index) + len(new) > self.kept and self.index:
+            self._tidy()
+            new = [p for p in names if p not in self.index]
+        before = len(self.names)
+        self._learn(new)
+        known = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        used = np.bincount(known, np.bincount(codes, minlength=len(names)), minlength=len(self.names)).astype(np.int64)
+        used[: len(self.used)] += self.used
+        self.used = used
+        at = known[codes]
         flat, starts = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.starts, np.uint64).astype(np.int64)
         n = starts[at + 1] - starts[at]
         ends = np.cumsum(n)
         got = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         del flat
-        for p in [p for p in new if len(p) > LONGEST]:
-            del self.index[p]  # its ids stay in the flat table until it is cleared
+        for k in range(before, len(self.names)):
+            if len(self.names[k]) > LONGEST:
+                self.index.pop(self.names[k], None)  # its ids stay until the next tidying
+                self.names[k] = None
         if len(self.ids) > 12 * self.kept:
-            self._clear()
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
+            self._tidy()
+        bounds = np.concatenate([[0], ends])[bounds]
         return [got[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:

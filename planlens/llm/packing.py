@@ -82,8 +82,8 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, cut=word
     def local(batches):
         encode, number, fills, members = encoder(path, cut), _numbers(0), [], []
         for b in batches:
-            for a in range(0, len(b), 512):
-                some = b.iloc[a : a + 512]
+            for a in range(0, len(b), 4096):
+                some = b.iloc[a : a + 4096]
                 for t, i, none in zip(encode(list(some["text"])), some["id"].fillna(0), some["none"]):
                     for p in pieces_of(np.append(t, end_id), int(i), none, size):
                         fills.append(int(p["length"]))

@@ -50,8 +50,8 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int, cut=spa
         offsets, ids, nulls, n = [0], [], [], 0
         with fs.open_output_stream(f"{root}/{name}.ids") as f:
             for b in batches:
-                for a in range(0, len(b), 512):
-                    some = b.iloc[a : a + 512]
+                for a in range(0, len(b), 4096):
+                    some = b.iloc[a : a + 4096]
                     for t in encode(list(some["text"])):
                         f.write(np.append(t, end_id).astype(dtype).tobytes())
                         n += len(t) + 1

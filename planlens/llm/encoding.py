@@ -7,7 +7,6 @@ sure not to matter, and what is still unknown goes to the library.
 
 from __future__ import annotations
 
-import re
 from array import array
 
 import numpy as np
@@ -21,9 +20,9 @@ AT_ONCE = 8_000_000
 
 #: White space that is next to other white space, at an end, or neither a space nor a line end; the mark used for cutting.
 _ODD = r"^[ \n]|[ \n][ \n]|[ \n]$|[\t\v\f\r\x00\x1c-\x1f\x{85}]|[^\P{Z} ]"
-#: Words with single line ends between them; a word and the punctuation after it.
-_LINES = re.compile(r" ?\S+(?:\n\S+)*")
-_TAIL = re.compile(r"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)")
+#: ASCII punctuation at the end, but for the apostrophe; a core that ends with a letter, and such punctuation.
+_TAILED = r"\p{L}[!-&(-/:-@\[-`{-~]+$"
+_TAIL = r"^(?P<core>(?s:.*)\p{L})(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
 
 
 def words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
@@ -59,23 +58,21 @@ def _odd_parts(text: str) -> list[str]:
     return [*parts, now]
 
 
-def finer(part: str, lower: bool) -> list[str]:
-    """The part in pieces between which no token can reach: at single line ends, and between a letter and punctuation.
+def finer(parts: pa.Array, lower: bool) -> tuple[pa.Array, pa.Array]:
+    """Each part as a core and a tail (often empty) between which no token can reach: a letter and punctuation after it.
 
-    lower: the tokenizer reads lower case, so ASCII pieces may be lowered.
+    lower: the tokenizer reads lower case, so ASCII cores are lowered.
     """
-    if part.isalpha():
-        return [part.lower() if lower and part.isascii() else part]
-    if "<|" in part or not _LINES.fullmatch(part):
-        return [part]
-    out = []
-    for k, line in enumerate(part.split("\n")):
-        if k:
-            out.append("\n")
-        m = _TAIL.fullmatch(line)
-        for x in m.groups() if m else (line,):
-            out.append(x.lower() if lower and x.isascii() else x)
-    return out
+    special = pc.match_substring(parts, "<|")
+    at = pc.indices_nonzero(pc.and_not(pc.match_substring_regex(parts, _TAILED), special))
+    cut = pc.extract_regex(parts.take(at), _TAIL)
+    mask = np.zeros(len(parts), bool)
+    mask[at.to_numpy()] = True
+    core = pc.replace_with_mask(parts, pa.array(mask), cut.field("core"))
+    tail = pc.replace_with_mask(pa.repeat(pa.scalar("", pa.large_string()), len(parts)), pa.array(mask), cut.field("tail"))
+    if lower:
+        core = pc.if_else(pc.and_not(pc.string_is_ascii(core), special), pc.ascii_lower(core), core)
+    return core, tail
 
 
 class Encoder:
@@ -100,55 +97,50 @@ class Encoder:
         self._clear()
         if len(keep) > 0.6 * self.kept:
             return
-        for k in keep:
-            self._add(names[k], ids[starts[k] : starts[k + 1]])
+        self._add([names[k] for k in keep], (ids[starts[k] : starts[k + 1]] for k in keep))
 
-    def _add(self, part: str, ids) -> None:
-        self.index[part] = len(self.names)
-        self.names.append(part)
-        self.ids.extend(ids)
-        self.starts.append(len(self.ids))
+    def _add(self, parts: list[str], ids) -> None:
+        k = len(self.names)
+        self.index.update(zip(parts, range(k, k + len(parts))))
+        self.names += parts
+        for x in ids:
+            self.ids.extend(x)
+            self.starts.append(len(self.ids))
 
     def _learn(self, parts: list[str]) -> None:
-        cut = [(p, finer(p, self.lower)) for p in parts]
-        index, ids, starts = self.index, self.ids, self.starts
-        ask = list({x for p, xs in cut for x in xs if x not in index})
-        for a in range(0, len(ask), 10_000):
-            some = ask[a : a + 10_000]
-            for x, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self._add(x, e.ids)
-        for p, xs in cut:
-            if len(xs) > 1:
-                own = array("I")
-                for k in map(index.__getitem__, xs):
-                    own += ids[starts[k] : starts[k + 1]]
-                self._add(p, own)
-            elif xs[0] is not p:
-                index[p] = index[xs[0]]
+        for a in range(0, len(parts), 10_000):
+            some = parts[a : a + 10_000]
+            self._add(some, [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)])
 
-    def _some(self, texts: list[str]) -> list[np.ndarray]:
-        parts, bounds = self.cut(texts)
+    def _known(self, parts: pa.Array) -> np.ndarray:
+        """Places in the table of all parts, which are learnt where they are new."""
         coded = parts.dictionary_encode()
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         new = [p for p in names if p not in self.index]
         if len(self.index) + len(new) > self.kept and self.index:
             self._tidy()
             new = [p for p in names if p not in self.index]
-        before = len(self.names)
         self._learn(new)
-        known = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
-        used = np.bincount(known, np.bincount(codes, minlength=len(names)), minlength=len(self.names)).astype(np.int64)
+        return np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[codes]
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        parts, bounds = self.cut(texts)
+        coded = parts.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        core, tail = finer(coded.dictionary, self.lower)
+        known = self._known(pa.concat_arrays([core, tail]))  # together, since learning may tidy the table
+        known = known.reshape(2, -1).T
+        used = np.bincount(known[:, 0], np.bincount(codes, minlength=len(known)), minlength=len(self.names)).astype(np.int64)
         used[: len(self.used)] += self.used
         self.used = used
-        at = known[codes]
+        at, bounds = known[codes].ravel(), 2 * bounds
         flat, starts = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.starts, np.uint64).astype(np.int64)
         n = starts[at + 1] - starts[at]
         ends = np.cumsum(n)
         got = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         del flat
-        for k in range(before, len(self.names)):
-            if len(self.names[k]) > LONGEST:
-                self.index.pop(self.names[k], None)  # its ids stay until the next tidying
+        for x in [x for x in core.take(pc.indices_nonzero(pc.greater(pc.binary_length(core), LONGEST))).to_pylist()]:
+            if (k := self.index.pop(x, None)) is not None:  # its ids stay until the next tidying
                 self.names[k] = None
         if len(self.ids) > 12 * self.kept:
             self._tidy()

@@ -63,7 +63,7 @@ def written(df: DataFrame, at: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     at = at or shared_dir(spark)
-    df.write.mode("overwrite").parquet(at)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

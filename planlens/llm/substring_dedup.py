@@ -9,9 +9,13 @@
    suffix_array); a look at the bytes before and after such a run tells which windows are equal.
 4. Each text's repeated windows are joined and removed.
 
-An anchor with more than MOST different contexts (at the ends of a passage that very many texts share) is dealt anew:
-its windows are halved by their place relative to the anchor, and each half is grouped by the bytes that all its
-windows share, until groups are small or a group is one window. So no task holds an unbounded group, and none is cut.
+Texts are never shuffled: step 1 writes them to the shared folder, a folder for each partition, and later steps send
+the places of anchors and the runs to remove back to the partition that a text lies in.
+
+An anchor with more than MOST occurrences (in a passage that very many texts share) is dealt by context instead, so
+that equal contexts meet before they are moved. If it has more than MOST different ones (at the passage's ends), its
+windows are halved by their place relative to the anchor, and each half is grouped by the bytes that all its windows
+share, until groups are small or a group is one window. So no task holds an unbounded group, and none is cut.
 
 Defined results: null counts as empty; texts under SPAN bytes lose nothing; all occurrences go, the first too; equal
 texts of SPAN bytes or more go whole; repeated rows count as occurrences; null ids are carried; an empty table gives
@@ -21,17 +25,19 @@ no rows; extra columns are ignored; texts are judged as they came in.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from planlens.llm.common import ship, text_of, written
+from planlens.llm.common import opener, shared_dir, ship, text_of, written
 from planlens.llm.suffix_array import suffix_array
 
-SPAN, KMER, BLOCK = 200, 32, 8
+SPAN, KMER, BLOCK = 200, 100, 20
 #: Contexts of one anchor that a task takes at once; contexts that share a suffix array; bytes hashed together.
 MOST, TOGETHER, AT_ONCE = 4096, 4096, 1_500_000
 
@@ -93,13 +99,15 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, kmer: int = KM
     return at, h[at].view(np.int64)
 
 
-def _anchored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _anchored(docs: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """Writes row, id, print, n_bytes, text, places and hashes of anchors below out, a folder (pid=...) for each partition."""
+
     def run(batches):
         for b in batches:
             texts = b.column("text").cast(pa.large_binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and len(texts) else np.zeros(0, np.uint8)
-            places, hashes, counts, a = [], [], [], 0
+            data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+            places, hashes, counts, a = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
             while a < len(texts):
                 z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + AT_ONCE, "right")) - 1)
                 ends = offsets[a + 1 : z + 1] - offsets[a]
@@ -109,24 +117,71 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 hashes.append(h)
                 counts.append(np.bincount(of, minlength=z - a))
                 a = z
-            bounds = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32) if counts else np.zeros(1, np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x) if x else np.zeros(0, t), t2)) for x, t, t2 in ((places, np.int32, pa.int32()), (hashes, np.int64, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "id", "print", "n_bytes")), *lists], ["row", "id", "print", "n_bytes", "places", "hashes"])
+            bounds = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x))) for x in (places, hashes)]
+            columns = ["row", "id", "print", "n_bytes", "text"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, columns), *lists], [*columns, "places", "hashes"])
 
     text = text_of(text_col)
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
                     F.sha2(text, 256).alias("print"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return written(d.mapInArrow(run, "row long, id long, print string, n_bytes long, places array<int>, hashes array<long>"))
+    d = d.mapInArrow(run, "row long, id long, print string, n_bytes long, text string, places array<int>, hashes array<long>")
+    schema = T.StructType([*d.schema.fields, T.StructField("pid", T.IntegerType())])
+    _by_pid(d, out)
+    return docs.sparkSession.read.schema(schema).parquet(out)
+
+
+def _pid():
+    """The partition that a row number was given in."""
+    return F.shiftright("row", 33).cast("int")
+
+
+def _by_pid(d: DataFrame, out: str) -> None:
+    d.withColumn("pid", _pid()).write.mode("overwrite").option("compression", "zstd").partitionBy("pid").parquet(out)
+
+
+def _part(at: str, pid: int, columns: list[str], size: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches of one partition's folder; none if it holds nothing."""
+    import pyarrow.dataset as ds
+
+    fs, root = opener(at)
+    if fs.get_file_info(f"{root}/pid={pid}").type.name == "Directory":
+        yield from ds.dataset(f"{root}/pid={pid}", filesystem=fs, format="parquet").to_batches(columns=columns, batch_size=size)
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The BLOCK bytes from each place on as one number, the first byte lowest."""
-    out = np.zeros(at.shape, _U)
-    for k in range(BLOCK):
-        out |= data[at + k].astype(_U) << _U(8 * k)
+def _table(at: str, pid: int, columns: list[str]) -> pd.DataFrame:
+    got = [b.to_pandas() for b in _part(at, pid, columns, 65_536)]
+    return pd.concat(got, ignore_index=True) if got else pd.DataFrame(columns=columns)
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The BLOCK bytes from each place on as numbers of 8 bytes, the first byte lowest."""
+    out = []
+    for first in range(0, BLOCK, 8):
+        x = np.zeros(at.shape, _U)
+        for k in range(first, min(first + 8, BLOCK)):
+            x |= data[at + k].astype(_U) << _U(8 * (k - first))
+        out.append(x)
     return out
 
 
+def _masks(n: int) -> list[np.uint64]:
+    """Numbers of 8 bytes with the first n of BLOCK bytes set."""
+    return [_U((1 << (8 * max(0, min(n - first, 8)))) - 1) for first in range(0, BLOCK, 8)]
+
+
+def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, number): rows sorted by keys, and for each sorted row the number of its distinct key, from 0."""
+    order = np.lexsort(keys)
+    if not len(order):
+        return order, order
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.cumsum(new)
+
+
 def repeated_windows(groups: np.ndarray, contexts: list[bytes], before: np.ndarray, many: np.ndarray, span: int = SPAN):
     """(context, window start relative to the anchor) for each window that recurs, among different contexts of a group.
 
@@ -145,12 +200,9 @@ def repeated_windows(groups: np.ndarray, contexts: list[bytes], before: np.ndarr
     count = hi - lo
     of = np.repeat(np.arange(len(n)), count)
     block = np.arange(int(count.sum())) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count) + lo[of]
-    value = _words(data, origin[of] + BLOCK * block)
-    order = np.lexsort((value, block, groups[of]))
-    differs = lambda x: x[order][1:] != x[order][:-1]
-    rank = np.cumsum(np.concatenate([[True], differs(value) | differs(block) | differs(groups[of])])) if len(of) else np.zeros(0, np.int64)
+    order, rank = _numbered(*_words(data, origin[of] + BLOCK * block), block, groups[of])
     symbol = np.empty(len(of), np.int64)
-    symbol[order] = rank  # from 1; 0 ends a context
+    symbol[order] = rank + 1  # 0 ends a context
     where = np.arange(len(of)) + of
     text = np.zeros(len(of) + len(n), np.int64)
     text[where] = symbol
@@ -179,16 +231,12 @@ def repeated_windows(groups: np.ndarray, contexts: list[bytes], before: np.ndarr
         ok = (BLOCK * j - k >= -before[c]) & (BLOCK * (j + run) + BLOCK - k <= n[c] - before[c])
         if not ok.any():
             continue
-        # The last k bytes before (at their places) and the first BLOCK - k after: together one number, without loss.
-        high = _U(0) if k == 0 else (pre >> _U(8 * (BLOCK - k))) << _U(8 * (BLOCK - k))
-        low = post & _U((1 << (8 * (BLOCK - k))) - 1)
-        w, g, cc, start = (high | low)[ok], cls[ok], c[ok], (BLOCK * j - k)[ok]
-        o = np.lexsort((w, g))
-        edge = np.concatenate([[True], (w[o][1:] != w[o][:-1]) | (g[o][1:] != g[o][:-1])])
-        number = np.cumsum(edge) - 1
+        # The first BLOCK - k bytes after and, in their places, the last k before.
+        rest = [((y & m) | (x & ~m))[ok] for x, y, m in zip(pre, post, _masks(BLOCK - k))]
+        o, number = _numbered(*rest, cls[ok])
         more = np.bincount(number)[number] > 1
-        found_c.append(cc[o][more])
-        found_w.append(start[o][more])
+        found_c.append(c[ok][o][more])
+        found_w.append((BLOCK * j - k)[ok][o][more])
     if not found_c:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     found_c, found_w = np.concatenate(found_c), np.concatenate(found_w)
@@ -203,6 +251,52 @@ def _runs(starts: np.ndarray, span: int) -> list[dict]:
     return [{"s": int(a), "e": int(b) + span} for a, b in zip(s[np.concatenate([[0], cut + 1])], s[np.append(cut, len(s) - 1)])]
 
 
+def solve(key, before, lo, hi, contexts: list[bytes], n) -> dict[int, list[dict]]:
+    """Runs of repeated windows, relative to the anchor, for the contexts of whole groups; lo and hi: bytes that a window may have before the anchor."""
+    before, lo, hi, many = (np.asarray(x, np.int64) for x in (before, lo, hi, n))
+    many = many > 1
+    _, groups, sizes = np.unique(np.asarray(key, np.int64), return_inverse=True, return_counts=True)
+    runs: dict[int, list] = {}
+    for i in np.flatnonzero(many):  # occurs again as a whole: each of its windows does
+        a, z = -min(before[i], hi[i]), min(len(contexts[i]) - before[i] - SPAN, -lo[i])
+        if a <= z:
+            runs[int(i)] = [{"s": int(a), "e": int(z) + SPAN}]
+    # Groups whose contexts all occur again as wholes have nothing left to find.
+    open_ = np.bincount(groups, ~many) > 0
+    pick = np.flatnonzero((sizes[groups] > 1) & open_[groups])
+    if len(pick):
+        c, w = repeated_windows(groups[pick], [contexts[i] for i in pick], before[pick], many[pick])
+        c = pick[c]
+        ok = (-w >= lo[c]) & (-w <= hi[c])
+        c, w = c[ok], w[ok]
+        o = np.argsort(c, kind="stable")
+        c, w = c[o], w[o]
+        edges = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+        for a, z in zip(edges, np.append(edges[1:], len(c))):
+            runs[int(c[a])] = _runs(w[a:z], SPAN)
+    return runs
+
+
+def _whole_groups(batches):
+    """Batches, sorted by key, cut anew so that no key lies in two of them."""
+    held = None
+    for b in batches:
+        held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
+        while len(held) > TOGETHER:
+            key = held["key"].to_numpy()
+            z = int(np.searchsorted(key, key[TOGETHER], "left")) or int(np.searchsorted(key, key[TOGETHER], "right"))
+            if z >= len(key):
+                break
+            yield held.iloc[:z].reset_index(drop=True)
+            held = held.iloc[z:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def _parts(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 RESULT = "key long, cid string, runs array<struct<s:int,e:int>>"
 
 
@@ -212,55 +306,15 @@ def _name(bytes_: str = "bytes"):
 
 
 def _resolve_small(contexts: DataFrame) -> DataFrame:
-    """(key, cid, runs relative to the anchor) for contexts (key, cid, before, lo, hi, bytes, n) in groups of at most MOST.
-
-    lo and hi: the range of bytes that a window may have before the anchor.
-    """
-
-    def solve(b: pd.DataFrame) -> pd.DataFrame:
-        before, many = b["before"].to_numpy().astype(np.int64), b["n"].to_numpy() > 1
-        lo, hi = b["lo"].to_numpy().astype(np.int64), b["hi"].to_numpy().astype(np.int64)
-        _, groups, sizes = np.unique(b["key"].to_numpy(), return_inverse=True, return_counts=True)
-        runs: dict[int, list] = {}
-        length = b["bytes"].map(len).to_numpy()
-        for i in np.flatnonzero(many):  # occurs again as a whole: each of its windows does
-            a, z = -min(before[i], hi[i]), length[i] - before[i] - SPAN
-            z = min(z, -lo[i])
-            if a <= z:
-                runs[int(i)] = [{"s": int(a), "e": int(z) + SPAN}]
-        pick = np.flatnonzero(sizes[groups] > 1)
-        if len(pick):
-            c, w = repeated_windows(groups[pick], list(b["bytes"].iloc[pick]), before[pick], many[pick])
-            c = pick[c]
-            ok = (-w >= lo[c]) & (-w <= hi[c])
-            c, w = c[ok], w[ok]
-            o = np.argsort(c, kind="stable")
-            c, w = c[o], w[o]
-            edges = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else []
-            for a, z in zip(edges, np.append(edges[1:], len(c))):
-                runs[int(c[a])] = _runs(w[a:z], SPAN)
-        at = sorted(runs)
-        return pd.DataFrame({"key": b["key"].to_numpy()[at], "cid": b["cid"].to_numpy()[at], "runs": pd.Series([runs[i] for i in at], dtype=object)})
+    """(key, cid, runs) for contexts (key, cid, before, lo, hi, bytes, n) in groups of at most MOST."""
 
     def run(batches):
-        held = None
-        for b in batches:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            while len(held) > TOGETHER + MOST:
-                # Cut behind the last whole group within reach.
-                key = held["key"].to_numpy()
-                z = TOGETHER
-                while z < len(key) and key[z] == key[z - 1]:
-                    z += 1
-                if z == len(key):
-                    break
-                yield solve(held.iloc[:z].reset_index(drop=True))
-                held = held.iloc[z:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield solve(held)
-
-    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(n, "key").sortWithinPartitions("key").mapInPandas(run, RESULT)
+        for b in _whole_groups(batches):
+            runs = solve(b["key"], b["before"], b["lo"], b["hi"], list(b["bytes"]), b["n"])
+            at = sorted(runs)
+            yield pd.DataFrame({"key": b["key"].to_numpy()[at], "cid": b["cid"].to_numpy()[at], "runs": pd.Series([runs[i] for i in at], dtype=object)})
+
+    return contexts.repartition(_parts(contexts.sparkSession), "key").sortWithinPartitions("key").mapInPandas(run, RESULT)
 
 
 def _resolve(contexts: DataFrame, depth: int = 0) -> DataFrame:
@@ -289,36 +343,101 @@ def _resolve(contexts: DataFrame, depth: int = 0) -> DataFrame:
     return written(small.unionByName(back.select(F.col("up_key").alias("key"), F.col("up_cid").alias("cid"), "runs")))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, texts, runs): all rows with print and n_bytes; texts that hold repeated anchors; runs [s, e) to remove, by print."""
-    ship(docs.sparkSession)
-    rows = _anchored(docs, id_col, text_col)
+CONTEXTS = "key long, hot boolean, before int, bytes binary, n int, rows array<long>, places array<int>"
+RUNS = "row long, s int, e int"
+
+
+def _contexts(spark, rows_at: str, places_at: str, pids: int) -> DataFrame:
+    """Contexts of all places, equal ones of a partition together; from the partition's own texts."""
+    reach = SPAN - KMER
+
+    def run(batches):
+        for b in batches:
+            for pid in b["id"]:
+                places = _table(places_at, pid, ["row", "place", "key", "hot", "n"]).sort_values("row", kind="stable")
+                row, place, key = (places[c].to_numpy(np.int64) for c in ("row", "place", "key"))
+                hot, n = places["hot"].to_numpy(bool), places["n"].to_numpy(np.int64)
+                found: dict = {}
+                for texts in _part(rows_at, pid, ["row", "text"]) if len(row) else ():
+                    for r, text in zip(texts.column("row").to_pylist(), texts.column("text")):
+                        a, z = np.searchsorted(row, [r, r + 1])
+                        if a == z:
+                            continue
+                        data = text.as_buffer().to_pybytes()
+                        for i in range(a, z):
+                            p = int(place[i])
+                            c = (int(key[i]), min(p, reach), data[max(p - reach, 0) : p + SPAN])
+                            if (f := found.get(c)) is None:
+                                f = found[c] = [bool(hot[i]), 0, [], []]
+                            f[1] += int(n[i])
+                            f[2].append(r)
+                            f[3].append(p)
+                    if len(found) > 200_000:
+                        yield _context_rows(found)
+                        found = {}
+                if found:
+                    yield _context_rows(found)
+
+    return spark.range(0, pids, 1, pids).mapInPandas(run, CONTEXTS)
+
+
+def _context_rows(found: dict) -> pd.DataFrame:
+    rows = [(k[0], v[0], k[1], k[2], min(v[1], 2), v[2], v[3]) for k, v in found.items()]
+    return pd.DataFrame(rows, columns=["key", "hot", "before", "bytes", "n", "rows", "places"])
+
+
+def _runs_of(contexts: DataFrame) -> DataFrame:
+    """Runs to remove, by row, from contexts in groups of at most MOST occurrences."""
+    reach = SPAN - KMER
+
+    def run(batches):
+        for b in _whole_groups(batches):
+            one: dict = {}
+            for k, before, data, n, rows, places in zip(b["key"], b["before"], b["bytes"], b["n"], b["rows"], b["places"]):
+                c = one.setdefault((k, before, data), [0, [], []])
+                c[0] += n
+                c[1].extend(rows)
+                c[2].extend(places)
+            keys, held = list(one), list(one.values())
+            z = np.zeros(len(keys), np.int64)
+            runs = solve([k[0] for k in keys], [k[1] for k in keys], z, z + reach, [k[2] for k in keys], [min(h[0], 2) for h in held])
+            out = [(r, x["s"] + p, x["e"] + p) for i, xs in runs.items() for x in xs for r, p in zip(held[i][1], held[i][2])]
+            yield pd.DataFrame(out, columns=["row", "s", "e"]).astype("int64")
+
+    return contexts.repartition(_parts(contexts.sparkSession), "key").sortWithinPartitions("key").mapInPandas(run, RUNS)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str, int]:
+    """(rows, rows_at, runs_at, partitions): all rows, where they lie by partition, and where the runs [s, e) to remove do."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows_at, places_at, runs_at = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    rows = _anchored(docs, id_col, text_col, rows_at)
+    pids = (rows.agg(F.max("pid")).first()[0] or 0) + 1
     pairs = rows.select("row", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("row", F.col("x.places").alias("place"), F.col("x.hashes").alias("key"))
-    again = rows.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    here = pairs.join(again, "key")
+    again = rows.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     # One row stands for equal texts; their number counts.
-    prints = rows.where(F.col("n_bytes") >= SPAN).groupBy("print").agg(F.min(F.struct("row", "id")).alias("m"), F.count("*").alias("copies"))
-    prints = prints.select("print", F.col("m.row").alias("row"), F.col("m.id").alias("rep"), F.least("copies", F.lit(2)).cast("int").alias("n"))
-    found = here.join(prints, "row").groupBy("row", "print", "rep", "n").agg(F.collect_list(F.struct("place", "key")).alias("at"))
-    text = text_of(text_col)
-    source = docs.select(F.sha2(text, 256).alias("_print"), F.col(id_col).cast("long").alias("_id"), text.cast("binary").alias("bytes"))
-    texts = written(source.join(found, (F.col("_print") == F.col("print")) & F.col("_id").eqNullSafe(F.col("rep"))).select("print", "n", "at", "bytes"))
-    reach = SPAN - KMER
-    left = F.least(F.col("o.place"), F.lit(reach))
-    part = F.col("bytes").substr(F.col("o.place") - left + 1, left + F.lit(SPAN))
-    each = texts.select("print", "n", "bytes", F.explode("at").alias("o")).select("print", "n", "o.place", "o.key", left.alias("before"), part.alias("part"))
-    contexts = each.groupBy("key", "before", F.col("part").alias("bytes")).agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
-    contexts = contexts.select("key", _name().alias("cid"), "before",
-                               F.lit(0).alias("lo"), F.lit(reach).alias("hi"), "bytes", "n")
-    solved = _resolve(written(contexts))
-    own = each.select("print", "place", "key", _name("part").alias("cid"))
-    runs = own.join(solved, ["key", "cid"]).select("print", F.transform("runs", lambda r: F.struct((r["s"] + F.col("place")).alias("s"), (r["e"] + F.col("place")).alias("e"))).alias("r"))
-    return rows, texts, runs.groupBy("print").agg(F.flatten(F.collect_list("r")).alias("runs"))
-
-
-def _merged(runs) -> list[tuple[int, int]]:
+    prints = rows.where(F.col("n_bytes") >= SPAN).groupBy("print").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    prints = prints.select("row", F.least("copies", F.lit(2)).cast("int").alias("n"))
+    places = pairs.join(again.select("key", (F.col("c") > MOST).alias("hot")), "key").join(prints, "row")
+    _by_pid(places.select("row", "place", "key", "hot", "n").repartition(_parts(spark), _pid()), places_at)
+    contexts = written(_contexts(spark, rows_at, places_at, pids))
+    runs = _runs_of(contexts.where("NOT hot").drop("hot"))
+    hot = contexts.where("hot").select("key", _name().alias("cid"), "before", "bytes", "n", "rows", "places")
+    if not hot.isEmpty():
+        one = hot.groupBy("key", "cid", "before", "bytes").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
+        one = one.select("key", "cid", "before", F.lit(0).alias("lo"), F.lit(SPAN - KMER).alias("hi"), "bytes", "n")
+        solved = _resolve(written(one))
+        o = hot.select("key", "cid", F.explode(F.arrays_zip("rows", "places")).alias("o")).join(solved, ["key", "cid"])
+        o = o.select(F.col("o.rows").alias("row"), F.col("o.places").alias("p"), F.explode("runs").alias("r"))
+        runs = runs.unionByName(o.select("row", (F.col("r.s") + F.col("p")).alias("s"), (F.col("r.e") + F.col("p")).alias("e")))
+    _by_pid(runs.repartition(_parts(spark), _pid()), runs_at)
+    return rows, rows_at, runs_at, pids
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s, e in sorted((int(r["s"]), int(r["e"])) for r in runs):
+    for s, e in sorted(runs):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -328,22 +447,29 @@ def _merged(runs) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
     """id, print, n_bytes, n_removed, n_spans and kept_sha256 of every row; with_bytes adds what is left of changed texts."""
-    rows, texts, runs = repeated_spans(docs, id_col, text_col)
+    rows, rows_at, runs_at, pids = repeated_spans(docs, id_col, text_col)
 
     def cut(batches):
         for b in batches:
-            out = []
-            for p, data, r in zip(b["print"], b["bytes"], b["runs"]):
-                spans = _merged(r)
-                at, kept = 0, []
-                for s, e in spans:
-                    kept.append(data[at:s])
-                    at = e
-                left = b"".join([*kept, data[at:]])
-                out.append((p, len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left if with_bytes else None))
-            yield pd.DataFrame(out, columns=["print", "n_removed", "n_spans", "kept", "left"]).astype({"left": object})
-
-    done = texts.select("print", "bytes").join(runs, "print").mapInPandas(cut, "print string, n_removed long, n_spans long, kept string, left binary").dropDuplicates(["print"])
+            for pid in b["id"]:
+                runs = _table(runs_at, pid, ["row", "s", "e"]).sort_values("row", kind="stable")
+                row, s, e = (runs[c].to_numpy(np.int64) for c in ("row", "s", "e"))
+                for texts in _part(rows_at, pid, ["row", "print", "text"]) if len(row) else ():
+                    out = []
+                    for r, p, text in zip(texts.column("row").to_pylist(), texts.column("print").to_pylist(), texts.column("text")):
+                        a, z = np.searchsorted(row, [r, r + 1])
+                        if a == z:
+                            continue
+                        data, spans = text.as_buffer().to_pybytes(), _merged(list(zip(s[a:z].tolist(), e[a:z].tolist())))
+                        at, kept = 0, []
+                        for x, y in spans:
+                            kept.append(data[at:x])
+                            at = y
+                        left = b"".join([*kept, data[at:]])
+                        out.append((p, len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left if with_bytes else None))
+                    yield pd.DataFrame(out, columns=["print", "n_removed", "n_spans", "kept", "left"]).astype({"n_removed": "int64", "n_spans": "int64", "left": object})
+
+    done = docs.sparkSession.range(0, pids, 1, pids).mapInPandas(cut, "print string, n_removed long, n_spans long, kept string, left binary")
     d = rows.select("id", "print", "n_bytes").join(done, "print", "left")
     zero = F.lit(0).cast("long")
     return d.select(F.col("id").alias(id_col), "print", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),

@@ -5,32 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planlens.shipping import ship as ship_source
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_SHIPPED: set[str] = set()
+#: Rows in a batch for Python, where the session has Spark's own default: texts are long.
+ROWS_AT_ONCE = "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package's source to the Python workers, once for each application; the driver serves the file."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="source-")) / f"{top.name}-source.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(at))
-    _SHIPPED.add(app)
+    """Makes Python workers ready for this package: its source, and batches that stay small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+    ship_source(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

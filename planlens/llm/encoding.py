@@ -7,6 +7,7 @@ sure not to matter, and what is still unknown goes to the library.
 
 from __future__ import annotations
 
+import os
 from array import array
 
 import numpy as np
@@ -14,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Largest number of parts kept, and of bytes or characters in one that is kept.
-KEPT, LONGEST = 700_000, 48
+KEPT, LONGEST = 400_000, 48
 #: Characters of text that are encoded together.
-AT_ONCE = 8_000_000
+AT_ONCE = 3_000_000
 
 #: White space that is next to other white space, at an end, or neither a space nor a line end; the mark used for cutting.
 _ODD = r"^[ \n]|[ \n][ \n]|[ \n]$|[\t\v\f\r\x00\x1c-\x1f\x{85}]|[^\P{Z} ]"
@@ -75,10 +76,21 @@ def finer(parts: pa.Array, lower: bool) -> tuple[pa.Array, pa.Array]:
     return core, tail
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level models read for bytes: printable bytes stand for themselves, the others are counted on from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
     """Ids of texts; about KEPT parts are kept between calls, those used again first."""
 
     def __init__(self, path: str, cut, kept: int = KEPT):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library, self.cut, self.kept, self.lower = Tokenizer.from_file(path), cut, kept, cut is words
@@ -108,8 +120,16 @@ class Encoder:
             self.starts.append(len(self.ids))
 
     def _learn(self, parts: list[str]) -> None:
-        for a in range(0, len(parts), 10_000):
-            some = parts[a : a + 10_000]
+        """A word of Latin letters (with a space before it or not) is one piece to the library's model; the rest goes its whole way."""
+        plain, other = [], []
+        for p in parts:
+            word = p[1:] if p[:1] == " " else p
+            (plain if word.isalpha() and (word.isascii() or max(word) <= "\xff") else other).append(p)
+        model = self.library.model
+        lower = str.lower if self.lower else str
+        self._add(plain, ([t.id for t in model.tokenize(lower(p).encode().decode("latin-1").translate(_BYTES))] for p in plain))
+        for a in range(0, len(other), 10_000):
+            some = other[a : a + 10_000]
             self._add(some, [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)])
 
     def _known(self, parts: pa.Array) -> np.ndarray:
@@ -145,6 +165,8 @@ class Encoder:
         if len(self.ids) > 12 * self.kept:
             self._tidy()
         bounds = np.concatenate([[0], ends])[bounds]
+        del parts, coded, core, tail
+        pa.default_memory_pool().release_unused()
         return [got[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:

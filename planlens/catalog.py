@@ -1,4 +1,5 @@
 """All queries by name, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from planlens.queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,0 +1 @@
+"""Nothing here yet: the engine's inputs are finished tables and documents. Resuming a set of jobs is sources.runs.remaining."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planlens.llm import mixing, near_dup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_files, topk
+from planlens.llm import language_id, mixing, near_dup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_files, topk
 from planlens.llm.common import table
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_secret_scan": lambda spark, d: secret_scan.op7(table(spark, d, "documents")),
     "op8_token_counts": lambda spark, d: token_counts.op8(table(spark, d, "documents"), tokenizer("piece_bpe_32k.model")),
     "op9_suffix_dedup": lambda spark, d: substring_dedup.op9(table(spark, d, "documents")),
+    "op10_language_id": lambda spark, d: language_id.op10(table(spark, d, "pages"), table(spark, d, "documents")),
 }
 
 ORACLE = {

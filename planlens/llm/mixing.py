@@ -228,9 +228,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = d.where("copies > 0").select("doc_id", "size", F.get("pattern", F.lit(0)).alias("_source"), "copies")
     taken = taken.groupBy("doc_id", "size", "_source").agg(F.sort_array(F.collect_list("copies"), False).alias("_each"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_source", "_each")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (_words() == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source"))
-    found = docs.join(taken, on)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), _words().alias("size"), F.xxhash64("text").alias("tie"))
+    on = F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & F.col("doc.source").eqNullSafe(F.col("_source"))
     # Rows alike in id, size and source share the copies that the mix gave to rows like them.
-    nth = F.row_number().over(W.partitionBy("_id", "_size", "_source").orderBy(F.xxhash64("text")))
-    found = found.withColumn("_copies", F.coalesce(F.get("_each", nth - 1), F.lit(0))).where("_copies > 0")
-    return found.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    nth = F.row_number().over(W.partitionBy("_id", "_size", "_source").orderBy("tie"))
+    found = whole.join(taken, on).withColumn("copies", F.coalesce(F.get("_each", nth - 1), F.lit(0)))
+    return found.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), "copies")).alias("nth")).select("doc.*")

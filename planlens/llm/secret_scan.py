@@ -153,10 +153,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = find_secrets(docs).where((F.size("base") > 0) | (F.size("linked") > 0))
     spans = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat("base", "linked").alias("_spans")).dropDuplicates(["_id", "_key"])
     key = F.struct(F.xxhash64(text_of()).alias("h"), F.length(text_of()).alias("n"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
-    d = docs.join(spans, on, "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
-    new = d.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return new.select(*docs.columns)
+    d = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"))
+    d = d.join(spans, F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    clean = F.col("_spans").isNull()
+    d = d.select("doc", clean.alias("clean"), F.when(clean, F.col("doc.text")).otherwise(redact(F.col("doc.text"), F.col("_spans"))).alias("new"))
+    now = {"text": F.col("new"), "n_chars": F.when(F.col("clean"), F.col("doc.n_chars") if "n_chars" in docs.columns else F.lit(None)).otherwise(F.length("new").cast("long"))}
+    return d.select(*[now.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -115,7 +115,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, cut=word
     n, parts, level = rest.count(), 1 << 30, 0
     while n > 1 and parts > 1:
         level += 1
-        parts = max(1, -(-n // MOST)) if level > 1 or n <= MOST else max(1, -(-n // (MOST // FAN_IN)))
+        parts = max(1, -(-n // MOST)) if level > 1 or n <= MOST else max(1, -(-n // max(1, MOST // FAN_IN)))
         bins = written(rest.select("fill", "members").repartition(parts).mapInPandas(again(level), BINS))
         full.append(bins.where("full"))
         rest = bins.where(~F.col("full"))

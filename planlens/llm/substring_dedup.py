@@ -12,7 +12,7 @@
 Texts are never shuffled: step 1 writes them to the shared folder, a folder for each partition, and later steps send
 the places of anchors and the runs to remove back to the partition that a text lies in.
 
-An anchor with more than MOST occurrences (in a passage that very many texts share) is dealt by context instead, so
+An anchor with more than HOT occurrences (in a passage that very many texts share) is dealt by context instead, so
 that equal contexts meet before they are moved. If it has more than MOST different ones (at the passage's ends), its
 windows are halved by their place relative to the anchor, and each half is grouped by the bytes that all its windows
 share, until groups are small or a group is one window. So no task holds an unbounded group, and none is cut.
@@ -38,8 +38,9 @@ from planlens.llm.common import opener, shared_dir, ship, text_of, written
 from planlens.llm.suffix_array import suffix_array
 
 SPAN, KMER, BLOCK = 200, 100, 20
-#: Contexts of one anchor that a task takes at once; contexts that share a suffix array; bytes hashed together.
-MOST, TOGETHER, AT_ONCE = 4096, 4096, 1_500_000
+#: Occurrences of an anchor from which it is dealt by context; different contexts of one anchor that a task takes at once;
+#: contexts that share a suffix array; bytes hashed together.
+HOT, MOST, TOGETHER, AT_ONCE = 512, 16_384, 4096, 1_500_000
 
 _U = np.uint64
 #: An odd base and its inverse modulo 2**64.
@@ -387,7 +388,7 @@ def _context_rows(found: dict) -> pd.DataFrame:
 
 
 def _runs_of(contexts: DataFrame) -> DataFrame:
-    """Runs to remove, by row, from contexts in groups of at most MOST occurrences."""
+    """Runs to remove, by row, from contexts in groups of at most HOT occurrences."""
     reach = SPAN - KMER
 
     def run(batches):
@@ -419,7 +420,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One row stands for equal texts; their number counts.
     prints = rows.where(F.col("n_bytes") >= SPAN).groupBy("print").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     prints = prints.select("row", F.least("copies", F.lit(2)).cast("int").alias("n"))
-    places = pairs.join(again.select("key", (F.col("c") > MOST).alias("hot")), "key").join(prints, "row")
+    places = pairs.join(again.select("key", (F.col("c") > HOT).alias("hot")), "key").join(prints, "row")
     _by_pid(places.select("row", "place", "key", "hot", "n").repartition(_parts(spark), _pid()), places_at)
     contexts = written(_contexts(spark, rows_at, places_at, pids))
     runs = _runs_of(contexts.where("NOT hot").drop("hot"))

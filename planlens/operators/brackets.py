@@ -178,3 +178,22 @@ def headline(merged: DataFrame, bounds: DataFrame) -> DataFrame:
     up = lambda d, names: d.unpivot([], names, "metric", "value")
     dbl = lambda d: d.select(*[F.col(c).cast("double").alias(c) for c in d.columns])
     return up(dbl(a), ["brackets", "tight", "median_width"]).unionByName(up(dbl(b), ["cases", "exact"]))
+
+
+def proof_keys(records: DataFrame) -> DataFrame:
+    """state, party, q, m of infeasible records with a numeric m, each key once."""
+    return records.where((F.col("status") == "infeasible") & R.parse(F.col("m")).isNotNull()).select("state", "party", "q", "m").dropDuplicates()
+
+
+def range_totals(ranges: DataFrame) -> DataFrame:
+    """Sums of seat ranges over states, states where all four ends agree, and states where a majority is known for either party."""
+    k, lo, hi = F.col("k"), F.col("ver_min"), F.col("ver_max")
+    total = [F.sum(c).alias(c) for c in ("ver_min", "ver_max", "lim_min", "lim_max")]
+    forced = (lo == hi) & (hi == F.col("lim_min")) & (F.col("lim_min") == F.col("lim_max"))
+    return ranges.agg(*total, F.count_if(forced).alias("forced"), F.count_if((k - lo) * 2 > k).alias("other_majority"), F.count_if(hi * 2 > k).alias("own_majority"))
+
+
+def enacted_gaps(merged: DataFrame, shares: DataFrame) -> DataFrame:
+    """How far lower ends above one half lie over an enacted plan's q-th share in percent (state, party, q, share)."""
+    g = merged.where("lo.n > 0").join(shares, ["state", "party", "q"]).select("q", (F.lit(100.0) * R.value(F.col("lo")) + 50.0 - F.col("share")).alias("gap"))
+    return g.agg(F.count("*").alias("compared"), F.count_if(F.col("gap") > 0).alias("below"), F.median("gap").alias("median_gap"), F.median(F.when(F.col("q") == 1, F.col("gap"))).alias("median_gap_first"))

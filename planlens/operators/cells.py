@@ -144,3 +144,21 @@ def geography_free(inst: Instance, regime_of, grid: DataFrame, k: int, eps: tupl
     left, right = F.greatest("x", "from"), F.least(F.col("x") + F.col("pop"), F.col("to"))
     ok = b.groupBy("m_n", "m_d", "q").agg(F.bool_or((at(left) >= 0) | (at(right) >= 0)).alias("ok"))
     return r.join(ok, ["m_n", "m_d", "q"], "left").select("q", "m_n", "m_d", F.coalesce("ok", F.lit(False)).alias("possible"))
+
+
+def first_excluded(possible: DataFrame) -> DataFrame:
+    """q and the least margin of the grid that geography_free excludes (null if none)."""
+    m = F.struct("m_n", "m_d")
+    got = possible.groupBy("q").agg(F.min_by(m, F.when(~F.col("possible"), F.col("m_n") / F.col("m_d"))).alias("m"))
+    return got.select("q", F.when(F.col("m").isNotNull(), F.struct(F.col("m.m_n").cast("bigint").alias("n"), F.col("m.m_d").cast("bigint").alias("d"))).alias("m"))
+
+
+def cell_plan(plans: DataFrame, cell_of: DataFrame) -> DataFrame:
+    """plan, cell, split, district: whether a cell lies in several districts, and its one district otherwise."""
+    c = plans.join(cell_of, "atom_id").groupBy("plan", "cell").agg(F.min("district").alias("lo"), F.max("district").alias("hi"))
+    return c.select("plan", "cell", (F.col("lo") != F.col("hi")).alias("split"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("district"))
+
+
+def hint(plans: DataFrame, cell_of: DataFrame) -> DataFrame:
+    """plan, cell, district: the districts that each cell meets, a start for a solver over cells."""
+    return plans.join(cell_of, "atom_id").select("plan", "cell", "district").distinct()

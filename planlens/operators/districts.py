@@ -125,3 +125,9 @@ def first_used_atom(plans: DataFrame) -> DataFrame:
 def swapped(inst: Instance) -> Instance:
     """The instance with the parties exchanged."""
     return Instance(inst.atom, inst.vote.select("atom_id", "contest", F.col("r").alias("d"), F.col("d").alias("r")), inst.edge)
+
+
+def seat_curve(margins: DataFrame, swings: range) -> DataFrame:
+    """plan, swing (points), seats: districts won after a uniform swing."""
+    s = F.explode(F.array(*map(F.lit, swings)))
+    return margins.select("plan", "margin", s.alias("swing")).groupBy("plan", "swing").agg(F.count_if(F.col("margin") + F.col("swing") / 100 >= 0).alias("seats"))

@@ -163,3 +163,8 @@ def first_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def vote_columns(names: list[str]) -> list[str]:
     """Names that have the form of a vote column."""
     return [n for n in names if re.match(VOTE_COLUMN, n)]
+
+
+def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows drawn by a seeded hash of their key; the same for a seed, whatever the partitioning."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")).cast("binary")), key).limit(n)

@@ -703,3 +703,80 @@ def exact_spectrum(spark, d):
 @query()
 def ward_cells(spark, d):
     return S.ward_nodes(X.nation(spark, d))
+
+
+# Further rows of the inventory
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 0 ORDER BY md5('17/' || c_custkey), c_custkey LIMIT 50")
+def sample_rows(spark, d):
+    pool = X.read(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_nationkey")
+    return I.sample(pool, "c_custkey", 50, 17)
+
+
+@query(_with(RECORDS) + """, r AS (SELECT *, row_number() OVER () AS nth FROM rec), f AS (SELECT state, party, q, m FROM rec WHERE status = 'infeasible' AND m <> 'heuristic' AND q <= 3 AND party = 'D')
+SELECT DISTINCT state, party, q, m FROM f""")
+def proof_keys(spark, d):
+    r = _records(spark, d)
+    return B.proof_keys(r.where("q <= 3 and party = 'D'"))
+
+
+@query(ORACLE["geofree_bound"].replace("SELECT q::INTEGER AS q, b.m_n::INTEGER AS m_n, b.m_d::INTEGER AS m_d, coalesce(ok, false) AS possible FROM b LEFT JOIN h USING (m_n, m_d, q)",
+       "SELECT q::INTEGER AS q, min(b.m_n) FILTER (NOT coalesce(ok, false))::INTEGER AS m_n FROM b LEFT JOIN h USING (m_n, m_d, q) GROUP BY q"))
+def geofree_sigma(spark, d):
+    g = C.geography_free(X.nation(spark, d), ("D", "A"), grid(spark, FINE), 5, (1, 5))
+    return C.first_excluded(g).select("q", F.col("m.n").cast("int").alias("m_n"))
+
+
+@query(_with(NATION, STATS) + """, c AS (SELECT p.plan, a.county AS cell, count(DISTINCT district) AS n, min(district) AS district FROM plan p JOIN atom a USING (atom_id) GROUP BY ALL)
+SELECT plan, cell, n > 1 AS split, CASE WHEN n = 1 THEN district END AS district FROM c""")
+def split_cells(spark, d):
+    i = X.nation(spark, d)
+    return C.cell_plan(X.nation_plans(spark, d), i.atom.select("atom_id", F.col("county").alias("cell")))
+
+
+@query(_with(NATION, STATS) + """SELECT DISTINCT p.plan, a.county AS cell, (r.q - 1)::INTEGER AS district FROM plan p JOIN atom a USING (atom_id) JOIN ranked r ON r.plan = p.plan AND r.district = p.district""")
+def plan_hint(spark, d):
+    i, plans = X.nation(spark, d), X.nation_plans(spark, d)
+    return C.hint(D.relabelled(plans, D.robust_margins(i, plans, BOTH)), i.atom.select("atom_id", F.col("county").alias("cell")))
+
+
+@both_instances("""SELECT plan, s::INTEGER AS swing, count(*) FILTER (margin + s / 100.0::DOUBLE >= 0) AS seats FROM margins CROSS JOIN (SELECT unnest(range(-20, 21)) AS s) GROUP BY ALL""", "seat_curve")
+def _(inst, plans):
+    return D.seat_curve(D.robust_margins(inst, plans, BOTH), range(-20, 21))
+
+
+@query(_with(FACT, BOUNDS, ZERO) + """, s AS (SELECT a.state, 5 - r.f_lo AS ver_min, a.f_lo AS ver_max, 5 - r.f_hi AS lim_min, a.f_hi AS lim_max FROM z a JOIN z r ON a.state = r.state AND a.party = 'D' AND r.party = 'R')
+SELECT sum(ver_min)::BIGINT AS ver_min, sum(ver_max)::BIGINT AS ver_max, sum(lim_min)::BIGINT AS lim_min, sum(lim_max)::BIGINT AS lim_max,
+count(*) FILTER (ver_min = ver_max AND ver_max = lim_min AND lim_min = lim_max) AS forced, count(*) FILTER (2 * (5 - ver_min) > 5) AS other_majority, count(*) FILTER (2 * ver_max > 5) AS own_majority FROM s""")
+def seat_range_totals(spark, d):
+    seats = X.bracket_facts(spark, d).select("state").distinct().withColumn("k", F.lit(5))
+    return B.range_totals(B.seat_ranges(_zero(spark, d), seats))
+
+
+@query(_with(FACT) + """, e AS (SELECT state, party, q, 48 + (q * 3 + length(state)) % 9 AS share FROM (SELECT DISTINCT state, party, q FROM merged)),
+g AS (SELECT m.q, 100 * (lo / 400.0::DOUBLE) + 50 - share AS gap FROM merged m JOIN e USING (state, party, q) WHERE cap = 1 AND eps = '1/100' AND lo > 0)
+SELECT count(*) AS compared, count(*) FILTER (gap > 0) AS below, round(median(gap), 6) AS median_gap, round(median(gap) FILTER (q = 1), 6) AS median_gap_first FROM g""")
+def enacted_gaps(spark, d):
+    m = _merged(spark, d).where("cap = 1 and eps = '1/100'")
+    e = m.select("state", "party", "q").distinct().withColumn("share", 48 + (F.col("q") * 3 + F.length("state")) % 9)
+    g = B.enacted_gaps(m, e)
+    return g.select("compared", "below", F.round("median_gap", 6).alias("median_gap"), F.round("median_gap_first", 6).alias("median_gap_first"))
+
+
+@query(_with(NATION, STATS) + "SELECT plan, max(top_sum) FILTER (q = 2) AS top2, max(margin) FILTER (q = 2) AS second FROM ranked GROUP BY plan")
+def search_objective(spark, d):
+    r = D.ranked(D.robust_margins(X.nation(spark, d), X.nation_plans(spark, d), BOTH))
+    return r.groupBy("plan").agg(F.max(F.when(F.col("q") == 2, F.col("top_sum"))).alias("top2"), F.max(F.when(F.col("q") == 2, F.col("margin"))).alias("second"))
+
+
+@query(_with(FACT, BOUNDS) + """SELECT party || ' & ' || cap || ' & ' || n || ' \\\\' AS line FROM (SELECT party, cap, count(*) AS n FROM merged GROUP BY ALL)""")
+def latex_lines(spark, d):
+    return reports.latex_rows(_merged(spark, d).groupBy("party", "cap").agg(F.count("*").alias("n")))
+
+
+@query()
+def neighbourhood_search(spark, d):
+    i = X.nation(spark, d)
+    r = Regime("D", (0, 1), (1, 5), ("A",), None)
+    start = S.best_of(S.search(i, r, 3, 1, seeds=2, steps=20))
+    return S.improve(i, r, start, 3, 1, seeds=4, free=2).select("plan", "n", "d").distinct()

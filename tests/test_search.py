@@ -103,3 +103,15 @@ def test_bridges(spark):
     nodes = spark.createDataFrame([(0, 5, 0.0, 0.0), (1, 5, 1.0, 0.0), (2, 1, 4.0, 0.0), (3, 2, 0.0, 9.0)], "atom_id int, pop int, x double, y double")
     edges = spark.createDataFrame([(0, 1)], "u int, v int")
     assert [(a, b) for a, b, _ in bridges(nodes, edges)] == [(0, 3), (1, 2)]
+
+
+def test_neighbourhoods_improve_and_stay_valid(spark):
+    i = instances.grid(spark, 3, 4, 5, counties=3)
+    g = S.local(i, ANY)
+    start = S.random_plan(g, 2, (1, 5), np.random.default_rng(1))
+    before = sorted(S.margins(g, start, 2), reverse=True)[0]
+    everything, m = S.best_nearby(g, start, 2, 1, ANY, set(range(g.n)))
+    assert m == S.spectrum(g, 2, ANY)[0][0]
+    found = S.improve(i, ANY, plan_df(spark, g.ids, start, 2), 2, 1, seeds=3).cache()
+    assert verify(i, found.select("plan", "k", "atom_id", "district"), ANY).where("NOT valid").isEmpty()
+    assert all(before <= Fraction(r.n, r.d) <= m for r in found.collect())

@@ -7,6 +7,8 @@ The posterior of a language is proportional to
 - a prior of the page's host, smoothed towards that of its address suffix, and that towards the prior of all pages. The
   counts are sums of the texts' posteriors over all pages, less the page's own.
 
+Plain documents have text and source only; their source stands for the host.
+
 The n-gram model is fitted on the PER_LANGUAGE labelled documents of least hash for each language, a bounded sample; all
 other counts cover all pages. Hosts, suffixes and declarations are counted by grouped aggregation with partial sums, so
 a host that holds a third of all pages is no single task.
@@ -116,10 +118,21 @@ def _sums(d: DataFrame, by: str, languages: list[str], name: str) -> DataFrame:
 
 def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """id, lang, posterior, text_lang, declared and host_prior (of lang) of every page. Pages' texts are never shuffled."""
-    languages, table = model
-    ship(pages.sparkSession)
     h = host(F.col(url_col))
     d = pages.select(F.col(id_col).alias("id"), declared(F.col(html_col)).alias("declared"), h.alias("host"), suffix(h).alias("suffix"), visible(F.col(html_col)).alias("text"))
+    return _fused(d, model, id_col)
+
+
+def identify_texts(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The same for plain texts: without markup and address, their source takes the host's place."""
+    none = F.lit(None).cast("string")
+    return _fused(docs.select(F.col(id_col).alias("id"), none.alias("declared"), F.col(source_col).alias("host"), none.alias("suffix"), F.lower(text_of(text_col)).alias("text")), model, id_col)
+
+
+def _fused(d: DataFrame, model: tuple[list[str], np.ndarray], id_col: str) -> DataFrame:
+    """From id, declared, host, suffix and text."""
+    languages, table = model
+    ship(d.sparkSession)
     if not languages:
         no = F.lit(None)
         return d.select(F.col("id").alias(id_col), no.cast("string").alias("lang"), no.cast("double").alias("posterior"), no.cast("string").alias("text_lang"), "declared", no.cast("double").alias("host_prior"))
@@ -129,7 +142,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
             logs = text_evidence(list(b["text"]), table)
             yield b[["id", "declared", "host", "suffix"]].assign(logs=list(logs), soft=list(_softmax(logs)) if len(logs) else [])
 
-    id_type = pages.schema[id_col].dataType.simpleString()
+    id_type = d.schema["id"].dataType.simpleString()
     d = written(d.mapInPandas(score, f"id {id_type}, declared string, host string, suffix string, logs array<double>, soft array<double>"))
     k = len(languages)
     numbers = F.sequence(F.lit(0), F.lit(k - 1))
@@ -161,5 +174,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
                     F.when(F.array_min("logs") < F.array_max("logs"), at(names, F.col("best_text"))).alias("text_lang"), "declared", F.round(at(F.col("p2"), F.col("best")), 6).alias("host_prior"))
 
 
-def op10(pages: DataFrame, labelled: DataFrame) -> DataFrame:
-    return identify(pages, fit(labelled))
+def op10(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every page (page_id) and, with the evidence they have, every document (doc_id)."""
+    model = fit(docs)
+    return identify(pages, model).unionByName(identify_texts(docs, model), allowMissingColumns=True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,14 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTES = _byte_letters()
+_SPACE = chr(_BYTES[32])
+
+
+def _letters(word: str) -> str:
+    """The letters of a word's bytes; ASCII letters are their own."""
+    if word.isascii():
+        return _SPACE + word[1:] if word[0] == " " else word
+    return word.encode().decode("latin-1").translate(_BYTES)
 
 
 class Encoder:
@@ -127,7 +136,7 @@ class Encoder:
             (plain if word.isalpha() and (word.isascii() or max(word) <= "\xff") else other).append(p)
         model = self.library.model
         lower = str.lower if self.lower else str
-        self._add(plain, ([t.id for t in model.tokenize(lower(p).encode().decode("latin-1").translate(_BYTES))] for p in plain))
+        self._add(plain, ([t.id for t in model.tokenize(_letters(lower(p)))] for p in plain))
         for a in range(0, len(other), 10_000):
             some = other[a : a + 10_000]
             self._add(some, [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)])
@@ -136,12 +145,20 @@ class Encoder:
         """Places in the table of all parts, which are learnt where they are new."""
         coded = parts.dictionary_encode()
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        new = [p for p in names if p not in self.index]
-        if len(self.index) + len(new) > self.kept and self.index:
+        known = self._places(names)
+        missing = np.flatnonzero(known < 0)
+        if len(self.index) + len(missing) > self.kept and self.index:
             self._tidy()
-            new = [p for p in names if p not in self.index]
+            known = self._places(names)
+            missing = np.flatnonzero(known < 0)
+        new = [names[i] for i in missing.tolist()]
         self._learn(new)
-        return np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[codes]
+        known[missing] = self._places(new)
+        return known[codes]
+
+    def _places(self, names: list[str]) -> np.ndarray:
+        """Places in the table, -1 for unknown parts."""
+        return np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
 
     def _some(self, texts: list[str]) -> list[np.ndarray]:
         parts, bounds = self.cut(texts)

@@ -340,7 +340,7 @@ def _resolve(contexts: DataFrame, depth: int = 0) -> DataFrame:
     h = written(h)
     below = h.groupBy("key", "cid", "before", "lo", "hi", "bytes").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
     found = _resolve(written(below), depth + 1)
-    back = h.select("key", "cid", "up_key", "up_cid").join(found, ["key", "cid"]).groupBy("up_key", "up_cid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    back = h.select("key", "cid", "up_key", "up_cid").join(found.hint("merge"), ["key", "cid"]).groupBy("up_key", "up_cid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return written(small.unionByName(back.select(F.col("up_key").alias("key"), F.col("up_cid").alias("cid"), "runs")))
 
 
@@ -417,10 +417,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pids = (rows.agg(F.max("pid")).first()[0] or 0) + 1
     pairs = rows.select("row", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("row", F.col("x.places").alias("place"), F.col("x.hashes").alias("key"))
     again = rows.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # Written, so that both sides of the join are plain exchanges and a very frequent anchor's rows can be split.
+    again = written(again.select("key", (F.col("c") > HOT).alias("hot")))
     # One row stands for equal texts; their number counts.
     prints = rows.where(F.col("n_bytes") >= SPAN).groupBy("print").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     prints = prints.select("row", F.least("copies", F.lit(2)).cast("int").alias("n"))
-    places = pairs.join(again.select("key", (F.col("c") > HOT).alias("hot")), "key").join(prints, "row")
+    places = pairs.join(again.hint("merge"), "key").join(prints.hint("merge"), "row")
     _by_pid(places.select("row", "place", "key", "hot", "n").repartition(_parts(spark), _pid()), places_at)
     contexts = written(_contexts(spark, rows_at, places_at, pids))
     runs = _runs_of(contexts.where("NOT hot").drop("hot"))
@@ -429,7 +431,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         one = hot.groupBy("key", "cid", "before", "bytes").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
         one = one.select("key", "cid", "before", F.lit(0).alias("lo"), F.lit(SPAN - KMER).alias("hi"), "bytes", "n")
         solved = _resolve(written(one))
-        o = hot.select("key", "cid", F.explode(F.arrays_zip("rows", "places")).alias("o")).join(solved, ["key", "cid"])
+        o = hot.select("key", "cid", F.explode(F.arrays_zip("rows", "places")).alias("o")).join(solved.hint("merge"), ["key", "cid"])
         o = o.select(F.col("o.rows").alias("row"), F.col("o.places").alias("p"), F.explode("runs").alias("r"))
         runs = runs.unionByName(o.select("row", (F.col("r.s") + F.col("p")).alias("s"), (F.col("r.e") + F.col("p")).alias("e")))
     _by_pid(runs.repartition(_parts(spark), _pid()), runs_at)
@@ -471,7 +473,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pd.DataFrame(out, columns=["print", "n_removed", "n_spans", "kept", "left"]).astype({"n_removed": "int64", "n_spans": "int64", "left": object})
 
     done = docs.sparkSession.range(0, pids, 1, pids).mapInPandas(cut, "print string, n_removed long, n_spans long, kept string, left binary")
-    d = rows.select("id", "print", "n_bytes").join(done, "print", "left")
+    d = rows.select("id", "print", "n_bytes").join(done.hint("merge"), "print", "left")
     zero = F.lit(0).cast("long")
     return d.select(F.col("id").alias(id_col), "print", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
                     F.coalesce("kept", "print").alias("kept_sha256"), *(["left"] if with_bytes else []))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from planlens.llm.common import ship, text_of
 
 #: Characters of a text that one task maps at once; states and parts that are kept.
-CHUNK, MOST_STATES, MOST_PARTS, LONGEST = 1 << 20, 150_000, 250_000, 48
+CHUNK, MOST_STATES, MOST_PARTS, LONGEST = 1 << 20, 300_000, 250_000, 48
 GAP = "▁"
 
 

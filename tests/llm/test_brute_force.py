@@ -141,6 +141,17 @@ def test_near_dup_stage_keeps_one_of_each_class(spark, docs):
     assert sorted(kept) == sorted(set(classes.values()))
 
 
+def test_unlike_texts_with_null_or_shared_ids_stay(spark):
+    a, b, c, d = (prose(400 + k, 80) for k in range(4))
+    rows = [(None, a), (None, a), (None, b), (None, None), (6, c), (6, d), (6, d), (7, c), (8, b + " zz")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = near_dup.op2(df).collect()
+    assert len(got) == len(rows) and len({r.class_print for r in got}) == 5
+    assert Counter(r.class_id for r in got) == {None: 3, 6: 4, 8: 2}
+    kept = [(r.doc_id, r.text) for r in near_dup.stage(spark, df, "").collect()]
+    assert sorted(kept, key=repr) == sorted([(None, a), (None, None), (6, c), (6, d), (8, b + " zz")], key=repr)
+
+
 # 3: mixing
 
 

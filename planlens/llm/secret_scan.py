@@ -119,7 +119,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     both = scanned.join(link(scanned, scope, id_col), on, "left")
     # A weak span inside a base span is that secret's own text.
-    own = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    own = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
     linked = F.filter(F.coalesce("linked", F.array().cast(f"array<{_SPAN}>")), lambda x: ~own(x))
     return both.select(id_col, "text_key", "base", linked.alias("linked"))
 

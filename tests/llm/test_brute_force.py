@@ -343,6 +343,18 @@ def test_weak_parts_need_each_other(spark):
     assert got == {i: sorted(k) for i, _, k in rows}
 
 
+def test_weak_spans_over_base_spans_stay(spark):
+    rows = [
+        (1, "postgres://admin:pw77zz@db.example.com/app?password=hunter22", ["assign", "endpoint"], "[SECRET]"),
+        (2, "sk_live_Qz0123456789abcdef0123456789ZZ99Qq user=bob", ["hex", "id", "secret"], "[SECRET] [SECRET]"),
+        (3, "password=Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZmdoaWo user=bob", ["assign", "id"], "[SECRET] [SECRET]"),
+    ]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t, *_ in rows], DOCS)
+    got = {r.doc_id: sorted(x.split(":")[0] for x in r.spans.split(",")) for r in secret_scan.op7(df).collect()}
+    assert got == {i: k for i, _, k, _ in rows}
+    assert {r.doc_id: r.text for r in secret_scan.stage(spark, df, "").collect()} == {i: t for i, *_, t in rows}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a é𝄞 password=abcdef z", "en", "s", 9), (2, None, "en", "s", 5), (3, "clean", "en", "s", 77)], DOCS)
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.stage(spark, df, "").collect()}

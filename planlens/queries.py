@@ -475,6 +475,11 @@ def spectrum_report(spark, d):
     return reports.spectrum(_merged(spark, d).where("hi is null or hi.n % 2 = 0"))
 
 
+@query(ORACLE["spectrum_report"].replace(" WHERE (hi IS NULL OR hi % 2 = 0)", ""))
+def spectrum_report_all(spark, d):
+    return reports.spectrum(_merged(spark, d))
+
+
 @query(_with(FACT) + """, c AS (SELECT state, party, cap, eps, q, max(lo) OVER (w ROWS UNBOUNDED PRECEDING) AS lo_c, min(hi) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi_c
   FROM merged WINDOW w AS (PARTITION BY state, party, eps, q ORDER BY cap)), f AS (SELECT state, party, q, max(hi) AS bound FROM merged WHERE q > 1 GROUP BY ALL)
 SELECT state, party, cap, eps, q, lo_c, least(hi_c, bound) AS hi_c FROM c LEFT JOIN f USING (state, party, q)""")

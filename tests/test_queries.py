@@ -15,6 +15,12 @@ def test_runs(name, spark, sf):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_spectrum_report_has_every_bracket(spark, sf):
+    from planlens import queries as q
+
+    assert QUERIES["spectrum_report_all"](spark, sf).count() == q._merged(spark, sf).count() > QUERIES["spectrum_report"](spark, sf).count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -181,8 +181,9 @@ def headline(merged: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def proof_keys(records: DataFrame) -> DataFrame:
-    """state, party, q, m of infeasible records with a numeric m, each key once."""
-    return records.where((F.col("status") == "infeasible") & R.parse(F.col("m")).isNotNull()).select("state", "party", "q", "m").dropDuplicates()
+    """state, party, q, m, cap, eps, contests of infeasible records with a numeric m, each key once."""
+    found = records.where((F.col("status") == "infeasible") & R.parse(F.col("m")).isNotNull())
+    return found.select("state", "party", "q", "m", "cap", "eps", "contests").dropDuplicates()
 
 
 def range_totals(ranges: DataFrame) -> DataFrame:

@@ -549,7 +549,9 @@ def _records(spark, d):
     status = F.when(F.col("o_orderstatus") == "F", "infeasible").when(F.col("o_orderstatus") == "O", "feasible").otherwise("unknown")
     m = F.when(key % 9 == 0, F.lit("heuristic")).otherwise(F.concat((cust * 37 % 160).cast("string"), F.lit("/400")))
     return X.read(spark, d, "orders").select(F.concat(F.lit("S"), (cust % 40).cast("string")).alias("state"), F.when(key % 2 == 0, F.lit("D")).otherwise(F.lit("R")).alias("party"),
-                                             (cust % 5 + 1).cast("int").alias("q"), status.alias("status"), m.alias("m"))
+                                             (cust % 5 + 1).cast("int").alias("q"), status.alias("status"), m.alias("m"),
+                                             F.expr("cast(o_orderkey div 4 % 4 + 1 as int)").alias("cap"), F.expr("array('1/200', '1/100', '1/50')[o_orderkey div 16 % 3]").alias("eps"),
+                                             F.expr("if(o_orderkey div 64 % 2 = 0, array('A'), array('A', 'B'))").alias("contests"))
 
 
 @query(_with(RECORDS) + "SELECT state, party, q, min(split_part(m, '/', 1)::BIGINT) AS m FROM rec WHERE status = 'infeasible' AND m <> 'heuristic' GROUP BY ALL")
@@ -722,7 +724,16 @@ def sample_rows(spark, d):
 SELECT DISTINCT state, party, q, m FROM f""")
 def proof_keys(spark, d):
     r = _records(spark, d)
-    return B.proof_keys(r.where("q <= 3 and party = 'D'"))
+    return B.proof_keys(r.where("q <= 3 and party = 'D'")).select("state", "party", "q", "m").distinct()
+
+
+PROOFS = RECORDS.replace(" AS m FROM orders)", """ AS m, (o_orderkey // 4 % 4 + 1)::INTEGER AS cap, ['1/200', '1/100', '1/50'][o_orderkey // 16 % 3 + 1] AS eps,
+  CASE WHEN o_orderkey // 64 % 2 = 0 THEN ['A'] ELSE ['A', 'B'] END AS contests FROM orders)""")
+
+
+@query(_with(PROOFS) + "SELECT DISTINCT state, party, q, m, cap, eps, contests FROM rec WHERE status = 'infeasible' AND m <> 'heuristic'")
+def proof_keys_all(spark, d):
+    return B.proof_keys(_records(spark, d))
 
 
 @query(ORACLE["geofree_bound"].replace("SELECT q::INTEGER AS q, b.m_n::INTEGER AS m_n, b.m_d::INTEGER AS m_d, coalesce(ok, false) AS possible FROM b LEFT JOIN h USING (m_n, m_d, q)",

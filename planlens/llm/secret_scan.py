@@ -27,7 +27,7 @@ WEAK = (
     r"|ASIA[A-Z0-9]{16,}"
     r"|(?:https?|ftp|postgres|postgresql|mysql|redis|amqp|mongodb)://[A-Za-z0-9_.:@/?=&%-]{4,}"
     r"|(?i:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.:-]{4,}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{32,}={0,2}"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{32,}={0,2}"
 )
 #: Order of kinds among spans with one start; the last three are weak.
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")

@@ -355,6 +355,13 @@ def test_weak_spans_over_base_spans_stay(spark):
     assert {r.doc_id: r.text for r in secret_scan.stage(spark, df, "").collect()} == {i: t for i, *_, t in rows}
 
 
+def test_long_strings_whose_first_digit_comes_late(spark):
+    rows = [(1, "user=bob " + "Ab" * 45 + "7x", ["id", "secret"]), (2, "user=bob " + "Ab" * 50_000 + "7", ["id", "secret"]), (3, "user=bob " + "Ab" * 50_000, []), (4, "q" * 100 + "-user=bob password=hunter22", ["assign", "id"])]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t, _ in rows], DOCS)
+    got = {r.doc_id: sorted(x.split(":")[0] for x in r.spans.split(",") if x) for r in secret_scan.op7(df).collect()}
+    assert got == {i: k for i, _, k in rows}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a é𝄞 password=abcdef z", "en", "s", 9), (2, None, "en", "s", 5), (3, "clean", "en", "s", 77)], DOCS)
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.stage(spark, df, "").collect()}

@@ -90,7 +90,7 @@ def test_banded_alignment():
 
 def classes_of(texts):
     """Classes by comparing every two texts."""
-    sh = [near_dup.shingles([t])[0] for t in texts]
+    sh = [near_dup.words([t])[0] for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -135,6 +135,45 @@ def test_near_duplicate_classes(spark, block, monkeypatch):
     assert all(c == min(i for i in got if got[i] == c) for c in got.values())
 
 
+def test_copies_with_edits_are_found(spark):
+    r = random.Random(11)
+    found = Counter()
+    rows, pairs = [], []
+    for share in (0.01, 0.02, 0.03, 0.05, 0.07, 0.1):
+        for _ in range(60):
+            base = prose(r.randint(1, 10**9), r.choice([60, 150, 300, 900]))
+            pairs.append((share, len(rows), base, other := edited(base, r, share)))
+            rows += [(len(rows), base, None, None, None), (len(rows) + 1, other, None, None, None)]
+    got = {r.doc_id: r.class_print for r in near_dup.op2(spark.createDataFrame(rows, DOCS)).collect()}
+    alike = Counter()
+    for share, i, a, b in pairs:
+        like = near_dup.similarity(*(near_dup.words([x])[0] for x in (a, b))) >= 0.8
+        alike[share] += like
+        found[share] += got[i] == got[i + 1]
+        assert like or got[i] != got[i + 1]
+    assert len(set(got.values())) == len(pairs) * 2 - sum(found.values())
+    assert all(found[s] >= 0.97 * alike[s] for s in alike) and sum(found.values()) >= 0.9 * len(pairs), (found, alike)
+
+
+def test_runs_leave_out_no_pair():
+    r = random.Random(3)
+    for _ in range(400):
+        a = [r.choice("abcdefgh") for _ in range(r.randint(1, 60))]
+        b = [r.choice("xyz") if r.random() < 0.05 else x for x in a if r.random() > 0.06] or ["x"]
+        runs = [Counter(tuple(x[i : i + 3]) for i in range(max(len(x) - 2, 1))) for x in (a, b)]
+        m = lcs(a, b)
+        if m / (len(a) + len(b) - m) >= 0.8:
+            assert near_dup.enough_runs((runs[0] & runs[1]).total(), len(a), len(b))
+
+
+def test_many_rows_of_one_text_and_id(spark):
+    a, b = prose(500, 120), edited(prose(500, 120), random.Random(1), 0.03)
+    rows = [(i, t, None, None, None) for i in (None, 5) for t in (a, b) for _ in range(300)] + [(9, prose(501, 120), None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert Counter(r.class_id for r in near_dup.op2(df).collect()) == {5: 1200, 9: 1}
+    assert near_dup.stage(spark, df, "").count() == 2
+
+
 def test_near_dup_stage_keeps_one_of_each_class(spark, docs):
     classes = {r.doc_id: r.class_id for r in near_dup.op2(docs).collect()}
     kept = [r.doc_id for r in near_dup.stage(spark, docs, "").collect()]

@@ -116,7 +116,7 @@ def edited(text, r, share):
     return " ".join(r.choice(["qq", "zz", "yy"]) if r.random() < share else w for w in text.split())
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [512, 16])
 def test_near_duplicate_classes(spark, block, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     r = random.Random(7)
@@ -155,6 +155,20 @@ def test_copies_with_edits_are_found(spark):
     assert all(found[s] >= 0.97 * alike[s] for s in alike) and sum(found.values()) >= 0.9 * len(pairs), (found, alike)
 
 
+def test_large_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 12)
+    monkeypatch.setattr(near_dup, "AT_MOST", 9000)
+    r, passage, texts = random.Random(8), prose(600, 60), []
+    for k in range(150):  # half of each text is the same passage
+        base = passage + " " + prose(2000 + k, 60, 2000)
+        texts += [base, edited(base, r, 0.03)] if k % 3 == 0 else [base]
+    center = prose(700, 120)
+    texts += [edited(center, r, r.choice([0.0, 0.02, 0.05, 0.09])) for _ in range(80)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.class_id for x in near_dup.op2(df).collect()}
+    assert partition(range(len(texts)), classes_of(texts)) == partition(got, got.values())
+
+
 def test_runs_leave_out_no_pair():
     r = random.Random(3)
     for _ in range(400):

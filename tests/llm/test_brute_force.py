@@ -116,7 +116,7 @@ def edited(text, r, share):
     return " ".join(r.choice(["qq", "zz", "yy"]) if r.random() < share else w for w in text.split())
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [512, 16, 6])
 def test_near_duplicate_classes(spark, block, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     r = random.Random(7)

@@ -7,6 +7,7 @@ sure not to matter, and what is still unknown goes to the library.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from itertools import repeat
@@ -60,14 +61,20 @@ def _odd_parts(text: str) -> list[str]:
     return [*parts, now]
 
 
-def finer(parts: pa.Array, lower: bool) -> tuple[pa.Array, pa.Array]:
+def finer(parts: pa.Array, lower: bool, stays=lambda c: True) -> tuple[pa.Array, pa.Array]:
     """Each part as a core and a tail (often empty) between which no token can reach: a letter and punctuation after it.
 
-    lower: the tokenizer reads lower case, so ASCII cores are lowered.
+    lower: the tokenizer reads lower case, so ASCII cores are lowered. stays(c) says whether the letter c still ends with
+    a letter where the tokenizer has normalized it (some become a letter and a mark, which goes with the punctuation).
     """
     special = pc.match_substring(parts, "<|")
     at = pc.indices_nonzero(pc.and_not(pc.match_substring_regex(parts, _TAILED), special))
     cut = pc.extract_regex(parts.take(at), _TAIL)
+    last = pc.utf8_slice_codeunits(cut.field("core"), -1).dictionary_encode()
+    fine = np.array([stays(c) for c in last.dictionary.to_pylist()], bool)
+    if not fine.all():
+        keep = pa.array(fine[last.indices.to_numpy(zero_copy_only=False)])
+        at, cut = at.filter(keep), cut.filter(keep)
     mask = np.zeros(len(parts), bool)
     mask[at.to_numpy()] = True
     core = pc.replace_with_mask(parts, pa.array(mask), cut.field("core"))
@@ -95,6 +102,14 @@ def _letters(word: str) -> str:
     return word.encode().decode("latin-1").translate(_BYTES)
 
 
+#: What each way of cutting takes for granted: the kinds of normalizers and pre-tokenizers of the tokenizer's file.
+_KINDS = {"words": (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]), "spaced_words": ([], ["ByteLevel"])}
+
+
+def _kinds(part: dict | None, within: str) -> list[str]:
+    return [] if part is None else [x["type"] for x in part.get(within, [part])]
+
+
 class Encoder:
     """Ids of texts; about KEPT parts are kept between calls, those used again first."""
 
@@ -103,8 +118,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.cut, self.kept, self.lower = Tokenizer.from_file(path), cut, kept, cut is words
+        made = json.loads(self.library.to_str())
+        kinds = _kinds(made["normalizer"], "normalizers"), _kinds(made["pre_tokenizer"], "pretokenizers")
+        if kinds != _KINDS[cut.__name__] or made["model"]["type"] != "BPE":
+            raise ValueError(f"texts can't be cut this way for a tokenizer of {kinds}")
+        self.ends: dict[str, bool] = {}
         self._clear()
 
+    def _stays(self, c: str) -> bool:
+        """Whether a letter ends with a letter where it is normalized."""
+        if c not in self.ends:
+            self.ends[c] = self.library.normalizer is None or self.library.normalizer.normalize_str(c)[-1:].isalpha()
+        return self.ends[c]
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.names: list = []
@@ -164,7 +190,7 @@ class Encoder:
         parts, bounds = self.cut(texts)
         coded = parts.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        core, tail = finer(coded.dictionary, self.lower)
+        core, tail = finer(coded.dictionary, self.lower, self._stays)
         known = self._known(pa.concat_arrays([core, tail]))  # together, since learning may tidy the table
         known = known.reshape(2, -1).T
         used = np.bincount(known[:, 0], np.bincount(codes, minlength=len(known)), minlength=len(self.names)).astype(np.int64)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -341,6 +342,31 @@ def test_encoder_forgets_and_stays_right(docs, vocabulary):
             assert e([t])[0].tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_every_letter_before_punctuation(vocabulary):
+    from tokenizers import Tokenizer
+
+    from planlens.llm import encoding
+
+    letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LMN"]
+    texts = [f"{c}! a{c}. {c}'s x{c}," for c in letters]
+    joined = [" ".join(texts[k : k + 200]) for k in range(0, len(texts), 200)] + ["KENDİ. bugün SEVGİLİ?", "\u0958. \ufb1d, \u212b;"]
+    r = random.Random(6)
+    odd = letters[:400] + r.sample(letters, 400) + list(" .,;!?'-İ\u0958\u0301\n\t\x85\u2003") * 30
+    joined += ["".join(r.choice(odd) for _ in range(60)) for _ in range(2000)]
+    for name, cut in (("word_bpe_49k.json", encoding.words), ("byte_bpe_50k.json", encoding.spaced_words)):
+        lib, e = Tokenizer.from_file(vocabulary(name)), encoding.Encoder(vocabulary(name), cut)
+        for t, ids in zip(joined, e(joined)):
+            assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids, (name, t)
+
+
+def test_encoder_knows_its_tokenizers(vocabulary):
+    from planlens.llm import encoding
+
+    for name, cut in (("byte_bpe_50k.json", encoding.words), ("word_bpe_49k.json", encoding.spaced_words)):
+        with pytest.raises(ValueError):
+            encoding.Encoder(vocabulary(name), cut)
+
+
 def test_token_counts(edge, docs, vocabulary):
     import sentencepiece
 

@@ -1,5 +1,6 @@
 """Operators against plain versions, the libraries, exact round trips and held-out accuracy."""
 
+import base64
 import hashlib
 import random
 import re
@@ -15,7 +16,7 @@ import pytest
 from planlens.llm import language_id, mixing, near_dup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_files, topk
 from planlens.llm.suffix_array import suffix_array
 
-from .conftest import DOCS, prose
+from .conftest import DOCS, LONG, prose
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -384,10 +385,48 @@ def test_chunk_maps_compose(vocabulary):
     path = vocabulary("piece_bpe_32k.model")
     lib, t, r = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.Transducer(path), random.Random(3)
     parts = list(t.score) + [" ", "  ", "▁", "é", "\n", "x", "日", "𝄞", "\x00", " a", "b "] * 1500
-    for _ in range(1500):
-        x = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
-        cuts = sorted(r.randint(0, len(x)) for _ in range(r.randint(0, 4)))
-        assert t.count(t.scan([t.map_of(x[a:b]) for a, b in zip([0, *cuts], [*cuts, len(x)])])) == len(lib.encode(x))
+    reach, lacking = 3 * t.longest, 0
+
+    def check(x, cuts):
+        nonlocal lacking
+        cuts = [0, *sorted(cuts), len(x)]
+        chunks = [x[a:b] for a, b in zip(cuts, cuts[1:])]
+        maps = [t.map_of(GAP + c, [t.first.key]) if not a else t.map_of(c, t.entries(x[max(a - reach, 0) : a], a <= reach)) for a, c in zip(cuts, chunks)]
+
+        def again(k):
+            nonlocal lacking
+            lacking += 1
+            return chunks[k]
+
+        assert t.count(x) == t.total(maps, again) == len(lib.encode(x))
+        # A map without the state asked for is run again.
+        assert t.total([maps[0], *({} for _ in maps[1:])], lambda k: chunks[k]) == len(lib.encode(x))
+
+    GAP = token_counts.GAP
+    for _ in range(800):
+        x = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        check(x, [r.randint(1, len(x)) for _ in range(r.randint(0, 4))])
+    lacking = 0
+    spaceless = [p for p in t.score if GAP not in p]
+    texts = ["".join(r.choice(spaceless) for _ in range(300)) for _ in range(150)]
+    texts += ["".join(chr(r.randint(0x3040, 0x30FF)) if r.random() < 0.7 else r.choice("日本語学校東京") for _ in range(2000)) for _ in range(10)]
+    texts += [base64.b64encode(r.randbytes(1500)).decode() for _ in range(10)] + [c * 1999 for c in "=-a.0"] + ["ab" * 900, "=-" * 800, "0123456789" * 150]
+    for x in texts:
+        check(x, [r.randint(1, len(x) - 1) for _ in range(r.randint(1, 6))])
+    assert lacking == 0
+    assert all(sum(map(len, map(repr, t.map_of(x[500:], t.entries(x[500 - reach : 500], False)).values()))) < 20_000 for x in texts if len(x) > 600)
+
+
+def test_token_counts_of_very_long_texts(spark, vocabulary):
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    lib, r = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(9)
+    kana = "".join(chr(r.randint(0x3040, 0x30FF)) for _ in range(5000))
+    texts = [LONG * 100, kana * 300, "=" * 1_500_000, base64.b64encode(r.randbytes(1_000_000)).decode(), "short", LONG[: token_counts.CHUNK - 5]]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.op8(df, path).collect()}
+    assert got == {i: (len(t.encode()), len(lib.encode(t))) for i, t in enumerate(texts)}
 
 
 # 7: secrets

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,15 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-#: Rows in a batch for Python, where the session has Spark's own default: texts are long.
-ROWS_AT_ONCE = "1000"
+def ship(spark: SparkSession, *files: str) -> None:
+    """Makes Python workers ready: this package's source and, where an operator reads any, vocabulary files."""
+    ship_source(spark)
+    for f in files:
+        spark.sparkContext.addFile(f)
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes Python workers ready for this package: its source, and batches that stay small."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
-    ship_source(spark)
+def shipped(path: str) -> str:
+    """Where a worker finds a file that the driver knows as path."""
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,15 +46,26 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share; removed when the driver ends.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset and Spark runs in one process (local tests) a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    at = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    fs, path = _hadoop(spark, at)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
+def _hadoop(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def written(df: DataFrame, at: str | None = None) -> DataFrame:
@@ -63,8 +78,8 @@ def written(df: DataFrame, at: str | None = None) -> DataFrame:
 
 def drop_written(spark: SparkSession, at: str) -> None:
     """Removes a folder made by shared_dir()."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _hadoop(spark, at)
+    fs.delete(path, True)
 
 
 def local_path(uri: str) -> str:

@@ -34,7 +34,8 @@ PER_LANGUAGE, GRAM, CELLS = 500, 3, 1 << 15
 #: N-grams that a text counts for at most; weight, in pages, of the level above a host or suffix; of an unseen declaration.
 EFFECTIVE, STRENGTH, UNSEEN = 60.0, 5.0, 1.0
 
-_NOT_TEXT = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"
+#: Scripts, styles and comments that aren't closed go on to the end, so that no place is read twice.
+_NOT_TEXT = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+>"
 
 
 def visible(html: Column) -> Column:
@@ -44,7 +45,7 @@ def visible(html: Column) -> Column:
 
 def declared(html: Column) -> Column:
     """The main language that the html element declares."""
-    x = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    x = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     return F.when(x != "", x)
 
 
@@ -71,13 +72,18 @@ def _spaced(text: str) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities of cells by language), from a bounded sample of labelled texts."""
+    """(languages, log-probabilities of cells by language), from a bounded sample of labelled texts: per_language of least hash for each."""
     ship(labelled.sparkSession)
-    ids = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"))
-    n = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    ids = ids.withColumn("_n", n).where(F.col("_n") <= per_language).select("_lang", "_id").distinct()
-    # per_language rows for each language: bounded by those two numbers.
-    sample = labelled.join(F.broadcast(ids), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang"))).select(F.col("_lang").alias("lang"), F.lower(text_of(text_col)).alias("text"))
+    d = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    d = d.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    # Hashes are spread evenly, so those below a share of their range hold all that is wanted (4 times as many rows), and
+    # no task sees more, however many tasks there are; equal rows count once.
+    sizes = d.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).withColumnRenamed("lang", "_lang")
+    share = F.lit(4.0 * per_language) / F.col("n")
+    few = d.join(sizes, F.col("lang") == F.col("_lang")).where((F.col("h").cast("double") + 2.0**63) / 2.0**64 < share)
+    few = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    n = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    sample = few.withColumn("n", n).where(F.col("n") <= per_language).select("lang", F.lower("text").alias("text"))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlens.llm.common import ship, text_of, written
+from planlens.llm.common import ship, shipped, text_of, written
 from planlens.llm.encoding import encoder, words
 
 ITEM = np.dtype([("id", "<i8"), ("none", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
@@ -80,7 +80,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, cut=word
     """A row for each piece: its place in its document, and in a sequence of at most size tokens."""
 
     def local(batches):
-        encode, number, fills, members = encoder(path, cut), _numbers(0), [], []
+        encode, number, fills, members = encoder(shipped(path), cut), _numbers(0), [], []
         for b in batches:
             for a in range(0, len(b), 4096):
                 some = b.iloc[a : a + 4096]
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1, cut=word
 
         return merge
 
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, path)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).isNull().alias("none"), text_of(text_col).alias("text"))
     bins = written(d.mapInPandas(local, BINS))
     full, rest = [bins.where("full")], bins.where(~F.col("full"))

@@ -31,28 +31,34 @@ WEAK = (
 )
 #: Order of kinds among spans with one start; the last three are weak.
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
+BASE = KINDS[:3]
 #: The part of a credential that each kind stands for.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "id": "id", "secret": "secret", "endpoint": "endpoint"}
 #: Largest gap, in code points, between the complementary parts of a credential.
 SCOPE = 200
-CHUNK = 256
+#: Elements, and code points, that are handled together.
+CHUNK, PIECE = 256, 4096
 
 _SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
-def running_sums(values: Column) -> Column:
-    """Sums up to and with each element; in chunks, so that long arrays don't cost their length squared."""
-    zero = F.array().cast("array<int>")
-    end = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
-    within = lambda c: F.aggregate(c, zero, lambda a, x: F.concat(a, F.array(end(a) + x)))
+def running(values: Column, merge, first: int = 0) -> Column:
+    """merge of all elements up to and with each; in chunks, so that long arrays don't cost their length squared."""
+    none = F.array().cast("array<int>")
+    end = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(first))
+    within = lambda c: F.aggregate(c, none, lambda a, x: F.concat(a, F.array(merge(end(a), x))))
 
     def of(v: Column) -> Column:
         n_chunks = F.ceil(F.size(v) / F.lit(CHUNK)).cast("int")
         chunks = F.transform(F.sequence(F.lit(0), F.greatest(n_chunks, F.lit(1)) - 1), lambda k: within(F.slice(v, k * CHUNK + 1, CHUNK)))
         return let(chunks, lambda cs: let(within(F.transform(cs, end)), lambda ends: F.flatten(
-            F.transform(cs, lambda c, k: F.transform(c, lambda x: x + F.coalesce(F.get(ends, k - 1), F.lit(0)))))))
+            F.transform(cs, lambda c, k: F.transform(c, lambda x: merge(x, F.coalesce(F.get(ends, k - 1), F.lit(first))))))))
+
+    return F.when(F.size(values) == 0, none).otherwise(let(values, of))
 
-    return F.when(F.size(values) == 0, zero).otherwise(let(values, of))
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b)
 
 
 def _found(text: Column, pattern: str, made) -> Column:
@@ -98,7 +104,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def link(scanned: DataFrame, scope: int = SCOPE, id_col: str = "doc_id") -> DataFrame:
-    """id, text_key and linked: the weak spans that have a complementary part within scope."""
+    """id, text_key and linked: the weak spans that have a complementary part within scope and lie in no base span."""
     key = [F.col(id_col).alias("_id"), F.col("text_key").alias("_key")]
     role = F.element_at(F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv)), F.col("s.kind"))
     busy = scanned.where((F.size("weak") > 0) & (F.size("base") + F.size("weak") > 1))
@@ -110,7 +116,12 @@ def link(scanned: DataFrame, scope: int = SCOPE, id_col: str = "doc_id") -> Data
                          bucket(F.col("s.start"), F.greatest(F.col("s.end") - 1, F.col("s.start"))).alias("p_at")).distinct()
     near = (F.col("p.start") <= F.col("s.end") + scope) & (F.col("s.start") <= F.col("p.end") + scope)
     on = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_key") == F.col("p_key")) & (F.col("at") == F.col("p_at")) & (F.col("role") != F.col("p_role")) & near
-    return weak.join(parts, on, "left_semi").groupBy("_id", "_key").agg(F.collect_set("s").alias("linked"))
+    linked = weak.join(parts, on, "left_semi").select("_id", "_key", "s").distinct()
+    # A weak span inside a base span is that secret's own text.
+    linked = linked.withColumn("at", F.floor(F.col("s.start") / scope).cast("int"))
+    base = parts.where(F.col("p.kind").isin(*BASE))
+    inside = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_key") == F.col("p_key")) & (F.col("at") == F.col("p_at")) & (F.col("p.start") <= F.col("s.start")) & (F.col("s.end") <= F.col("p.end"))
+    return linked.join(base, inside, "left_anti").groupBy("_id", "_key").agg(F.collect_list("s").alias("linked"))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,10 +129,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     scanned = written(scan(docs, id_col, text_col))
     on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     both = scanned.join(link(scanned, scope, id_col), on, "left")
-    # A weak span inside a base span is that secret's own text.
-    own = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    linked = F.filter(F.coalesce("linked", F.array().cast(f"array<{_SPAN}>")), lambda x: ~own(x))
-    return both.select(id_col, "text_key", "base", linked.alias("linked"))
+    return both.select(id_col, "text_key", "base", F.coalesce("linked", F.array().cast(f"array<{_SPAN}>")).alias("linked"))
 
 
 def joined(spans: Column) -> Column:
@@ -138,14 +146,27 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
-    """The text with each span, overlapping ones merged, replaced by a mark."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with each span, overlapping ones merged, replaced by a mark.
+
+    The text is cut into pieces of PIECE code points once, so that no part of it is sought from its start.
+    """
+
+    def built(pieces: Column, s: Column) -> Column:
+        def between(a: Column, z: Column) -> Column:
+            i, j = F.floor(a / PIECE).cast("int"), F.floor(z / PIECE).cast("int")
+            piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+            over = F.concat(F.substring(piece(i), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(piece(j), F.lit(1), z % PIECE))
+            return F.when(i == j, F.substring(piece(i), a % PIECE + 1, z - a)).otherwise(over)
+
+        def filled(ends: Column) -> Column:
+            before = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(0))
+            marked = F.transform(s, lambda x, k: F.when(x["start"] >= before(k), F.concat(between(before(k), x["start"]), F.lit(by))).otherwise(F.lit("")))
+            return F.concat(F.array_join(marked, ""), between(F.get(ends, F.size(ends) - 1), F.length(text)))
 
-    def step(a: Column, s: Column) -> Column:
-        before = F.when(s["start"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(by))).otherwise(F.lit(""))
-        return F.struct(F.concat(a["out"], before).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+        return let(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), filled)
 
-    return F.aggregate(F.array_sort(spans), zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(cut, lambda pieces: let(F.array_sort(spans), lambda s: built(pieces, s))))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,6 +100,17 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, kmer: int = KM
     return at, h[at].view(np.int64)
 
 
+def anchors_of_long(data: np.ndarray, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of one text of any length: of parts that share all but one byte of a window, so that each window lies in one part."""
+    found = []
+    for a in range(0, max(len(data) - SPAN + 1, 1), at_once):
+        part = data[a : a + at_once + SPAN - 1]
+        at, h = anchors(part, np.array([len(part)]))
+        found.append((at + a, h))
+    at, first = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
+    return at, np.concatenate([h for _, h in found])[first]
+
+
 def _anchored(docs: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
     """Writes row, id, print, n_bytes, text, places and hashes of anchors below out, a folder (pid=...) for each partition."""
 
@@ -112,7 +123,7 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str, out: str) -> DataFram
             while a < len(texts):
                 z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + AT_ONCE, "right")) - 1)
                 ends = offsets[a + 1 : z + 1] - offsets[a]
-                at, h = anchors(data[offsets[a] : offsets[z]], ends)
+                at, h = anchors(data[offsets[a] : offsets[z]], ends) if z > a + 1 else anchors_of_long(data[offsets[a] : offsets[z]])
                 of = np.searchsorted(ends, at, "right")
                 places.append((at - np.concatenate([[0], ends[:-1]])[of]).astype(np.int32))
                 hashes.append(h)
@@ -141,7 +152,7 @@ def _by_pid(d: DataFrame, out: str) -> None:
     d.withColumn("pid", _pid()).write.mode("overwrite").option("compression", "zstd").partitionBy("pid").parquet(out)
 
 
-def _part(at: str, pid: int, columns: list[str], size: int = 2048) -> Iterator[pa.RecordBatch]:
+def _part(at: str, pid: int, columns: list[str], size: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of one partition's folder; none if it holds nothing."""
     import pyarrow.dataset as ds
 
@@ -373,9 +384,9 @@ def _contexts(spark, rows_at: str, places_at: str, pids: int) -> DataFrame:
                             f[1] += int(n[i])
                             f[2].append(r)
                             f[3].append(p)
-                    if len(found) > 200_000:
-                        yield _context_rows(found)
-                        found = {}
+                            if len(found) > 100_000:
+                                yield _context_rows(found)
+                                found = {}
                 if found:
                     yield _context_rows(found)
 

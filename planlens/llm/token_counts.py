@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlens.llm.common import opener, shared_dir, ship, text_of, written
+from planlens.llm.common import opener, shared_dir, ship, shipped, text_of, written
 
 #: Characters of a text that one task maps at once; states and parts that are kept.
 CHUNK, MOST_STATES, MOST_PARTS, LONGEST = 1 << 20, 300_000, 250_000, 48
@@ -242,7 +242,7 @@ def _maps(path: str):
     """Pickled maps of chunks (row, id, n_bytes, k, before, text); a text's first chunk is entered in the first state, with a gap."""
 
     def run(batches):
-        t = transducer(path)
+        t = transducer(shipped(path))
         for b in batches:
             maps = []
             for k, before, text in zip(b["k"], b["before"], b["text"]):
@@ -258,10 +258,10 @@ def _maps(path: str):
 
 def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and n_tokens of every row. Long texts' chunks are written to the shared folder, and their maps shuffled."""
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, path)
 
     def whole(batches):
-        t = transducer(path)
+        t = transducer(shipped(path))
         for b in batches:
             n = []
             for text in b["text"]:
@@ -270,7 +270,7 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "
             yield b[["id", "n_bytes"]].assign(n_tokens=pd.Series(n, b.index, dtype="int64"))
 
     def cut(batches):
-        reach = 3 * transducer(path).longest
+        reach = 3 * transducer(shipped(path)).longest
         for b in batches:
             for row, id_, n_bytes, text in zip(b["row"], b["id"], b["n_bytes"], b["text"]):
                 for a in range(0, len(text), chunk):
@@ -293,7 +293,7 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, id_col: str = "
         for b in batches:
             n = []
             for row, maps in zip(b["row"], b["maps"]):
-                n.append(transducer(path).total([pickle.loads(m["map"]) for m in maps], lambda k, row=row: _chunk_at(at, row, k)))
+                n.append(transducer(shipped(path)).total([pickle.loads(m["map"]) for m in maps], lambda k, row=row: _chunk_at(at, row, k)))
             yield b[["id", "n_bytes"]].assign(n_tokens=pd.Series(n, b.index, dtype="int64"))
 
     return short.unionByName(maps.mapInPandas(finish, "id long, n_bytes long, n_tokens long")).withColumnRenamed("id", id_col)

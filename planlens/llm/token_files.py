@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planlens.llm.common import opener, ship, shared_dir, text_of, written
+from planlens.llm.common import opener, ship, shipped, shared_dir, text_of, written
 from planlens.llm.encoding import encoder, spaced_words
 
 MANIFEST = "part int, name string, n_docs long, n_tokens long"
@@ -40,12 +40,12 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int, cut=spa
                       id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Writes the corpus below out, in ascending order of ids; returns the manifest with bases."""
     spark = docs.sparkSession
-    ship(spark)
+    ship(spark, path)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dtype = _dtype(vocabulary)
 
     def write(batches):
-        name, encode, (fs, root) = f"part-{uuid.uuid4().hex}", encoder(path, cut), opener(out)
+        name, encode, (fs, root) = f"part-{uuid.uuid4().hex}", encoder(shipped(path), cut), opener(out)
         fs.create_dir(root, recursive=True)
         offsets, ids, nulls, n = [0], [], [], 0
         with fs.open_output_stream(f"{root}/{name}.ids") as f:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -480,6 +481,49 @@ def test_long_strings_whose_first_digit_comes_late(spark):
     assert got == {i: k for i, _, k in rows}
 
 
+def test_links_by_all_pairs(spark):
+    r = random.Random(12)
+    bits = ["user=bob", "account: alice9", "ASIA" + "Q7" * 9, "https://x.example.com/a?b=c", "host=db.example.com", "AKIA" + "Z8" * 9, "password=hunter22", "secret: short",
+            "0123456789abcdef" * 2, "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZmdoaWo", "postgres://u:pw@h/app?password=hunter22", "é𝄞"]
+    rows = [(k, " ".join(x for _ in range(r.randint(1, 12)) for x in (r.choice(bits), "q " * r.choice([0, 3, 40, 95, 100, 110]))), None, None, None) for k in range(300)]
+    rows += [(None, rows[0][1], *rows[0][2:]), rows[1], (5, "user=bob " * 3000 + "host=db.example.com", None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    scanned, want = secret_scan.scan(df).collect(), Counter()
+    for x in scanned:
+        every = [*x.base, *x.weak]
+        near = lambda s: any(secret_scan.ROLE[p.kind] != secret_scan.ROLE[s.kind] and p.start <= s.end + 200 and s.start <= p.end + 200 for p in every)
+        kept = [s for s in x.weak if near(s) and not any(b.start <= s.start and s.end <= b.end for b in x.base)]
+        want[x.doc_id, ",".join(f"{s.kind}:{s.start}:{s.end}" for s in sorted([*x.base, *kept], key=lambda s: (s.start, s.rank, s.end)))] += 1
+    assert sum(len(x.weak) for x in scanned) > 1000
+    assert want == Counter((x.doc_id, x.spans) for x in secret_scan.op7(df).collect())
+
+
+def test_redaction_of_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    r, rows = random.Random(13), []
+    for k in range(60):
+        text = "".join(r.choice("ab é𝄞\n") for _ in range(r.choice([5, 4095, 4096, 4097, 8192, 30_000])))
+        spans = sorted((a := r.randrange(len(text)), min(len(text), a + r.choice([1, 3, 4096, 9000]))) for _ in range(r.choice([1, 2, 600])))
+        rows.append((k, text, [(a, 1, b, "hex") for a, b in spans]))
+    df = spark.createDataFrame(rows, f"k int, text string, spans array<{secret_scan._SPAN}>")
+    got = {x.k: x.out for x in df.select("k", secret_scan.redact(F.col("text"), F.col("spans")).alias("out")).collect()}
+    for k, text, spans in rows:
+        out, at = "", 0
+        for a, _, b, _ in spans:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert got[k] == out + text[at:]
+
+
+def test_many_secrets_in_a_long_text(spark):
+    text = "see password=abcdef and user=bob\n" * 30_000
+    df = spark.createDataFrame([(1, text, "en", "s", len(text))], DOCS)
+    (got,) = secret_scan.stage(spark, df, "").collect()
+    assert got.text == "see [SECRET] and [SECRET]\n" * 30_000
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a é𝄞 password=abcdef z", "en", "s", 9), (2, None, "en", "s", 5), (3, "clean", "en", "s", 77)], DOCS)
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.stage(spark, df, "").collect()}
@@ -524,9 +568,116 @@ def test_repeated_strings(spark, hot, most, monkeypatch):
     assert want == Counter(tuple(r) for r in got)
 
 
+def test_anchors_of_long_texts():
+    r = np.random.default_rng(3)
+    for n in (100, 199, 200, 201, 999, 1000, 1001, 5000):
+        data = r.integers(97, 100, n).astype(np.uint8)
+        want = substring_dedup.anchors(data, np.array([n]))
+        got = substring_dedup.anchors_of_long(data, 400)
+        assert want[0].tolist() == got[0].tolist() and want[1].tolist() == got[1].tolist()
+
+
+def test_repeats_in_a_very_long_text(spark):
+    r = random.Random(2)
+    text = "".join(r.choices("abcdefgh ", k=20_000_000))
+    passage = "".join(r.choices("xyz", k=700))
+    texts = [text[:7_000_000] + passage + text[7_000_000:], "short " + passage[100:500], "clean " * 20]
+    got = {x.doc_id: x for x in substring_dedup.op9(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)).collect()}
+    left = texts[0].replace(passage[100:500], "")
+    assert (got[0].n_removed, got[0].n_spans, got[0].kept_sha256) == (400, 1, hashlib.sha256(left.encode()).hexdigest())
+    assert (got[1].n_removed, got[2].n_removed) == (400, 0)
+
+
 # 10: language
 
 
+def fused(rows, logs, languages):
+    """Posteriors in plain Python. rows: (declared, host, suffix) of each page; logs: the texts' evidence."""
+    soft = [[math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v] for v in logs]
+    k, out = len(languages), []
+    said_kinds = len({d for d, _, _ in rows if d is not None})
+
+    def total(at, value, i, own):
+        """Soft count of language i over pages that share a value, the own page left out."""
+        return max(sum(s[i] for r, s in zip(rows, soft) if value is not None and r[at] == value) - own[i], 0.0) if value is not None else 0.0
+
+    whole = [sum(s[i] for s in soft) for i in range(k)]
+    for (declared, host, suffix), own, v in zip(rows, soft, logs):
+        n0 = [max(whole[i] - own[i], 0.0) for i in range(k)]
+        p = [(x + 1) / (sum(n0) + k) for x in n0]
+        for at, value in ((2, suffix), (1, host)):
+            n = [total(at, value, i, own) for i in range(k)]
+            p = [(n[i] + language_id.STRENGTH * p[i]) / (sum(n) + language_id.STRENGTH) for i in range(k)]
+        says = [1.0 if declared is None else (total(0, declared, i, own) + language_id.UNSEEN) / (whole[i] + language_id.UNSEEN * (said_kinds + 1)) for i in range(k)]
+        w = [v[i] + math.log(says[i]) + math.log(p[i]) for i in range(k)]
+        e = [math.exp(x - max(w)) for x in w]
+        best = e.index(max(e))
+        out.append((languages[best], round(e[best] / sum(e), 5), round(p[best], 5)))
+    return out
+
+
+def test_fusion_by_hand(spark, docs):
+    model = language_id.fit(docs)
+    names, table = model
+    r = random.Random(21)
+    pool = {x: [t.text for t in docs.where(f"lang = '{x}'").limit(20).collect()] for x in names}
+    rows = []
+    for k in range(160):
+        x = r.choice(names)
+        text = r.choice([r.choice(pool[x])[: r.choice([15, 60, 400])], "", "ok"])
+        tag = r.choice(["<html>", f'<html lang="{x}">', f"<html class=a lang={r.choice(names).upper()}-XX>", "<p>", "<html lang='zz'>"])
+        url = r.choice([None, "odd", f"http://www{r.randint(1, 4)}.example.{x}/p", f"https://u@{x}.host.com:80/{k}", f"HTTP://A.example.{r.choice(names)}"])
+        rows.append((k, url, f"{tag}<script>var a=1;</script><!-- no --><p>{text}</p>"))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    parts = []
+    for _, url, html in rows:
+        m = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", html)
+        h = re.match(r"(?i)[a-z]+://(?:[^/@]*@)?([^/:]+)", url or "")
+        host = h[1].lower() if h else None
+        parts.append((m[1].lower() if m else None, host, host.rsplit(".", 1)[-1] if host else None))
+    texts = [re.sub(r"\s+", " ", re.sub(r"<script>.*?</script>|<!--.*?-->|<[^>]*>", " ", h)).lower() for *_, h in rows]
+    want = fused(parts, language_id.text_evidence(texts, table).tolist(), names)
+    got = sorted(language_id.identify(df, model).collect(), key=lambda x: x.page_id)
+    assert [x.declared for x in got] == [d for d, *_ in parts]
+    for x, (lang, posterior, prior) in zip(got, want):
+        assert x.lang == lang and abs(x.posterior - posterior) < 1e-4 and abs(x.host_prior - prior) < 1e-4
+    # Documents: their source stands for the host.
+    some = docs.where("doc_id % 5 = 0").select("doc_id", "text", "source").orderBy("doc_id", "text").collect()
+    logs = language_id.text_evidence([(x.text or "").lower() for x in some], table).tolist()
+    want = Counter((x.doc_id, *w[:1]) for x, w in zip(some, fused([(None, x.source, None) for x in some], logs, names)))
+    assert want == Counter((x.doc_id, x.lang) for x in language_id.identify_texts(docs.where("doc_id % 5 = 0"), model).collect())
+
+
+def test_language_of_pages(spark, sf, docs):
+    """Pages made of documents of known language, of which three in four say where they come from, and one in ten lies."""
+    model = language_id.fit(docs.where("doc_id % 2 = 0"))
+    r, rows, truth = random.Random(5), [], {}
+    for x in docs.where("doc_id % 2 = 1 AND lang IS NOT NULL AND length(text) > 30").collect():
+        says = x.lang if r.random() < 0.9 else r.choice(model[0])
+        tag = f'<html lang="{says}">' if r.random() < 0.75 else "<html>"
+        truth[x.doc_id] = x.lang
+        a = r.randrange(len(x.text) - 25)
+        rows.append((x.doc_id, f"http://h{r.randint(0, 9)}.{x.lang}/", f"{tag}<body>{x.text[a : a + 25]}"))
+    got = {x.page_id: x for x in language_id.identify(spark.createDataFrame(rows, "page_id bigint, url string, html string"), model).collect()}
+    fused_, text_only = (sum(getattr(got[i], c) == x for i, x in truth.items()) / len(truth) for c in ("lang", "text_lang"))
+    assert fused_ > 0.98 and fused_ >= text_only, (fused_, text_only)
+
+
+def test_markup_that_is_not_closed(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a<script>" * 40_000,), ("<!--" * 60_000,), ("<" * 200_000,), ("<html " * 50_000,), ("a < b <i>c</i>",), ("x<script>y</script>z<!-- q -->w",)]
+    got = [tuple(x) for x in spark.createDataFrame(rows, "html string").select(F.trim(language_id.visible(F.col("html"))), language_id.declared(F.col("html"))).collect()]
+    assert got[0] == ("a", None) and got[1] == ("", None) and got[4][0].split() == ["a", "<", "b", "c"] and got[5][0].split() == ["x", "z", "w"]
+
+
+def test_sample_is_bounded(spark, docs):
+    names, table = language_id.fit(docs, per_language=5)
+    assert len(names) == docs.where("lang is not null and text is not null").select("lang").distinct().count()
+    many = docs.limit(3).crossJoin(spark.range(2000)).drop("id")
+    assert language_id.fit(many, per_language=5)[0] == sorted(x.lang for x in docs.limit(3).where("lang is not null").select("lang").distinct().collect())
+
+
 def test_held_out_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names, table = language_id.fit(docs.where("doc_id % 2 = 0"))

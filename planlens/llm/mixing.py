@@ -17,7 +17,6 @@ ties of the hash fall to the smaller id.
 
 from __future__ import annotations
 
-import heapq
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +27,7 @@ from pyspark.sql import Window as W
 from planlens.llm.common import WORD, text_of, written
 
 #: Hash ranges in a pattern, and the most patterns that one flow is solved for.
-RANGES, MOST_PATTERNS = 4096, 20_000
+RANGES, MOST_PATTERNS = 4096, 100_000
 #: Rounds in which a single further document is looked for that closes the gap to the target.
 CLOSING = 3
 
@@ -56,64 +55,73 @@ def flow(supply: dict, needs: dict, most: int = 3) -> dict:
     """{(pattern, source): tokens} of least cost that gives each source its need, as far as supplies reach.
 
     supply: tokens of each pattern (a tuple of sources); a pattern gives them up to most times, the k-th time at cost
-    2k - 1. Successive shortest paths on the graph source node, patterns (one arc for each time), sources, sink.
+    2k - 1. Only the arcs from the start have costs, so a path costs as much as its first arc, and successive shortest
+    paths are a greatest flow over first times, then one over second times on top of it, and so on. Each is found by
+    blocking flows over shortest paths (pattern, source, pattern that gives to it, another source, ...).
     """
-    nodes: dict = {}
-    arcs: list[list] = []  # to, capacity left, cost
-    at: list[list[int]] = []
-
-    def node(x) -> int:
-        if x not in nodes:
-            nodes[x] = len(at)
-            at.append([])
-        return nodes[x]
-
-    def arc(a, b, capacity, cost) -> int:
-        at[node(a)].append(len(arcs))
-        arcs.append([node(b), capacity, cost])
-        at[node(b)].append(len(arcs))
-        arcs.append([node(a), 0, -cost])
-        return len(arcs) - 2
-
-    s, t = node("start"), node("end")
-    carried = {}
-    for p in sorted(supply, key=repr):
-        for k in range(1, most + 1):
-            arc("start", ("p", p), supply[p], 2 * k - 1)
-        for x in p:
-            if x in needs:
-                carried[p, x] = arc(("p", p), ("s", x), most * supply[p], 0)
-    for x in sorted(needs, key=repr):
-        arc(("s", x), "end", needs[x], 0)
-    potential = [0] * len(at)
-    while True:
-        dist, via, heap = {s: 0}, {}, [(0, s)]
-        done = set()
-        while heap:
-            d, u = heapq.heappop(heap)
-            if u in done:
-                continue
-            done.add(u)
-            for e in at[u]:
-                v, cap, cost = arcs[e]
-                if cap > 0 and v not in done and (c := d + cost + potential[u] - potential[v]) < dist.get(v, 1 << 62):
-                    dist[v], via[v] = c, e
-                    heapq.heappush(heap, (c, v))
-        if t not in dist:
-            break
-        far = dist[t]
-        for v in range(len(at)):
-            potential[v] += min(dist.get(v, far), far)
-        push, v = None, t
-        while v != s:
-            push = arcs[via[v]][1] if push is None else min(push, arcs[via[v]][1])
-            v = arcs[via[v] ^ 1][0]
-        v = t
-        while v != s:
-            arcs[via[v]][1] -= push
-            arcs[via[v] ^ 1][1] += push
-            v = arcs[via[v] ^ 1][0]
-    return {k: arcs[e ^ 1][1] for k, e in carried.items() if arcs[e ^ 1][1]}
+    patterns = [p for p in sorted(supply, key=repr) if supply[p] > 0]
+    to = [[x for x in dict.fromkeys(p) if x in needs] for p in patterns]
+    need = dict(needs)
+    given: dict = {x: {} for x in needs}  # tokens by pattern
+
+    def give(p: int, x, n: int) -> None:
+        given[x][p] = given[x].get(p, 0) + n
+
+    for _ in range(most):
+        left = [supply[p] for p in patterns]
+        for p, sources in enumerate(to):
+            for x in sources:
+                if (n := min(left[p], need[x])) > 0:
+                    give(p, x, n)
+                    left[p] -= n
+                    need[x] -= n
+        while True:
+            # Distances from patterns with tokens left; sources are known by name, patterns by number.
+            at = {("p", p): 0 for p in range(len(patterns)) if left[p] > 0}
+            front, found = list(at), False
+            while front and not found:
+                nxt = []
+                for kind, u in front:
+                    d = at[kind, u] + 1
+                    for v in [("s", x) for x in to[u]] if kind == "p" else [("p", q) for q, n in given[u].items() if n > 0]:
+                        if v not in at:
+                            at[v] = d
+                            nxt.append(v)
+                            found = found or (v[0] == "s" and need[v[1]] > 0)
+                front = nxt
+            if not found:
+                break
+            rest: dict = {}
+            for p in [p for p in range(len(patterns)) if left[p] > 0]:
+                path = [("p", p)]
+                while path:
+                    kind, u = path[-1]
+                    if kind == "s" and need[u] > 0:
+                        n = min([left[p], need[u]] + [given[path[i][1]].get(path[i + 1][1], 0) for i in range(1, len(path) - 1, 2)])
+                        for i in range(0, len(path), 2):
+                            give(path[i][1], path[i + 1][1], n)
+                        for i in range(1, len(path) - 1, 2):
+                            give(path[i + 1][1], path[i][1], -n)
+                        left[p] -= n
+                        need[u] -= n
+                        if left[p] == 0:
+                            break
+                        path = path[:1]
+                        continue
+                    if (kind, u) not in rest:
+                        rest[kind, u] = [("s", x) for x in to[u]] if kind == "p" else [("p", q) for q, n in given[u].items() if n > 0]
+                    options = rest[kind, u]
+                    while options:
+                        v = options[-1]
+                        if at.get(v) == at[kind, u] + 1 and (kind == "p" or given[u].get(v[1], 0) > 0):
+                            path.append(v)
+                            break
+                        options.pop()
+                    else:
+                        path.pop()
+                        if path:
+                            rest[path[-1]].pop()
+    return {(patterns[p], x): n for x, by in given.items() for p, n in by.items() if n > 0}
 
 
 def _copies(d: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -134,7 +142,7 @@ def _copies(d: DataFrame, patterns: DataFrame) -> DataFrame:
     ends = e.where("before is not null").groupBy("pattern").agg(F.max("before").alias("_last")).select(F.col("pattern").alias("_pattern"), "_last")
     e = e.join(F.broadcast(ends), e["pattern"].eqNullSafe(ends["_pattern"]), "left").drop("_pattern")
     at_cut = e.where("before = _last")
-    w2 = W.partitionBy("pattern").orderBy("draw", "key").rowsBetween(W.unboundedPreceding, 0)
+    w2 = W.partitionBy("pattern").orderBy("draw", "by", "key").rowsBetween(W.unboundedPreceding, 0)
     upto = at_cut.withColumn("upto", F.col("before") + F.sum("size").over(w2)).where("upto <= extra").select("key", F.lit(True).alias("_in"), "pattern", "size", "before")
     whole = e.where("before < _last")
     # Tokens still missing in each pattern after whole ranges and the cut one.
@@ -148,12 +156,12 @@ def _copies(d: DataFrame, patterns: DataFrame) -> DataFrame:
         # Of the documents left out, the one that closes most of the gap without passing it by more than it closes.
         left = e.where("extra > 0 and more = 0 and size > 0").join(F.broadcast(gap), e["pattern"].eqNullSafe(gap["_pattern"]))
         fits = F.abs(F.col("size") - F.col("gap"))
-        best = left.where(fits < F.col("gap")).groupBy("_pattern").agg(F.min(F.struct(fits.alias("off"), F.col("draw"), F.col("key").alias("k"), F.col("size").alias("closed"))).alias("b"))
+        best = left.where(fits < F.col("gap")).groupBy("_pattern").agg(F.min(F.struct(fits.alias("off"), F.col("draw"), F.col("by"), F.col("key").alias("k"), F.col("size").alias("closed"))).alias("b"))
         best = written(best.select(F.col("_pattern").alias("b_pattern"), "b.k", "b.closed"))
         pick = best.select(F.col("k").alias("key"), F.lit(1).alias("_one"))
         e = e.join(F.broadcast(pick), "key", "left").withColumn("more", F.col("more") + F.coalesce("_one", F.lit(0))).drop("_one")
         gap = gap.join(F.broadcast(best), gap["_pattern"].eqNullSafe(best["b_pattern"]), "left").select("_pattern", (F.col("gap") - F.coalesce("closed", F.lit(0))).alias("gap"))
-    return e.withColumn("copies", F.coalesce("base", F.lit(0)) + F.col("more")).drop("before", "_last", "more", "range", "base", "extra")
+    return e.withColumn("copies", F.coalesce("base", F.lit(0)) + F.col("more")).drop("before", "_last", "more", "range", "base", "extra", "by")
 
 
 def mix(docs: DataFrame, size: Column, sources: Column, weigh, most: int = 3, seed: int = 17, id_col: str = "doc_id") -> tuple[DataFrame, list]:
@@ -164,7 +172,7 @@ def mix(docs: DataFrame, size: Column, sources: Column, weigh, most: int = 3, se
     spark = docs.sparkSession
     d = docs.select(F.col(id_col), size.cast("long").alias("size"), F.array_sort(F.array_distinct(sources)).alias("pattern"))
     draw = F.xxhash64(F.lit(seed), F.col(id_col), F.col("pattern"), F.col("size"))
-    d = d.withColumn("draw", draw).withColumn("key", F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.monotonically_increasing_id()))
+    d = d.withColumn("draw", draw).withColumn("by", F.col(id_col)).withColumn("key", F.monotonically_increasing_id())
     d = written(d)  # so that row keys stay as they are
     sums = [(tuple(r.pattern or ()), r.words or 0) for r in d.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()]
     if len(sums) > MOST_PATTERNS:
@@ -219,6 +227,15 @@ def op3(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", F.col("copies").cast("int"))
 
 
+def mix_texts(docs: DataFrame) -> DataFrame:
+    """Sources that overlap: a text belongs to every source that has it, and is drawn once for all of them."""
+    source = F.transform(F.collect_set(F.struct(F.col("source").alias("s"))), lambda x: x["s"])
+    texts = docs.groupBy(F.sha2(text_of(), 256).alias("print")).agg(F.min("doc_id").alias("doc_id"), F.first(_words()).alias("words"), source.alias("sources"))
+    d, shares = mix(texts, F.col("words"), F.col("sources"), cycle(5, 2, 1), id_col="print")
+    ids = texts.select(F.col("print").alias("_print"), "doc_id")
+    return d.join(ids, F.col("print") == F.col("_print")).select("doc_id", "size", F.col("pattern").alias("sources"), F.col("copies").cast("int"), (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.lit(sum(t for *_, t in shares)).alias("all_targets"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as many times as it is taken, with the columns of docs.
 

@@ -17,6 +17,7 @@ QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules.op1(table(spark, d, "documents")),
     "op2_near_dup": lambda spark, d: near_dup.op2(table(spark, d, "documents")),
     "op3_mixing": lambda spark, d: mixing.op3(table(spark, d, "documents")),
+    "mixing_of_shared_texts": lambda spark, d: mixing.mix_texts(table(spark, d, "documents")),
     "op4_topk": lambda spark, d: topk.op4(table(spark, d, "embeddings")),
     "op5_packing": lambda spark, d: packing.op5(table(spark, d, "documents"), tokenizer("word_bpe_49k.json")),
     "op6_token_files": lambda spark, d: token_files.op6(table(spark, d, "documents"), tokenizer("byte_bpe_50k.json")),

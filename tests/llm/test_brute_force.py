@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -225,6 +226,39 @@ def test_flow_is_of_least_cost():
         assert (-sum(got.values()), cost(got)) == best
 
 
+def test_flow_of_many_patterns():
+    r = random.Random(4)
+    for n_sources, n in ((6, 40), (300, 20_000)):
+        sources = [f"s{i}" for i in range(n_sources)]
+        supply = {tuple(sorted(r.sample(sources, r.randint(1, 4)))): r.randint(1, 1000) for _ in range(n)}
+        total = sum(supply.values())
+        needs = {s: r.randint(0, 2 * total // n_sources) for s in sources}
+        start = time.time()
+        got = mixing.flow(supply, needs)
+        assert time.time() - start < 60
+        out, into = Counter(), Counter()
+        for (p, s), x in got.items():
+            assert s in p and x > 0
+            out[p] += x
+            into[s] += x
+        assert all(out[p] <= 3 * supply[p] for p in supply) and all(into[s] <= needs[s] for s in needs)
+        # A cut as large as the flow, for each number of times: patterns that can still give reach no source in need.
+        for k in (1, 2, 3):
+            seen, todo = set(), [p for p in supply if out[p] < k * supply[p]]
+            reach = set(todo)
+            by = defaultdict(list)
+            for (p, s), x in got.items():
+                by[s].append(p)
+            while todo:
+                for s in todo.pop():
+                    if s not in seen:
+                        seen.add(s)
+                        todo += [p for p in by[s] if p not in reach]
+                        reach.update(by[s])
+            # Nobody repeats more often for a source that someone could still serve at less cost.
+            assert k == 3 and all(into[s] == needs[s] for s in seen) or k < 3 and all(out[p] <= k * supply[p] for p in reach)
+
+
 def test_targets_stop_and_share():
     t = mixing.targets_of({"a": 10, "b": 100, "c": 100}, {"a": 5, "b": 2, "c": 1})
     assert t["a"] == 30 and t["b"] == Fraction(180 * 2, 3) and t["c"] == 60
@@ -254,6 +288,14 @@ def test_overlapping_sources(spark):
     assert abs(sum(r.size * r.copies for r in got) - sum(t for *_, t in shares)) <= 60
 
 
+def test_texts_of_several_sources(spark):
+    texts = [prose(800 + k, 20 + k % 9) for k in range(120)]
+    rows = [(k * 10 + j, t, "en", s, 1) for k, t in enumerate(texts) for j, s in enumerate((["a", "b"], ["a"], ["b", None], [None])[k % 4])]
+    got = {x.doc_id: x for x in mixing.mix_texts(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == 120 and {tuple(x.sources) for x in got.values()} == {("a", "b"), ("a",), ("b", None), (None,)}
+    assert abs(sum(x.taken for x in got.values()) - got[0].all_targets) < 100 and max(x.copies for x in got.values()) <= 3
+
+
 # 4: exact search
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -30,24 +31,32 @@ from planlens.llm.encoding import encoder, spaced_words
 MANIFEST = "part int, name string, n_docs long, n_tokens long"
 #: Ids of a part that one task reads.
 READ_IDS = 4_000_000
+#: Stored bytes of input that make one part, and the most parts.
+PART_BYTES, MOST_PARTS = 1 << 27, 200_000
 
 
 def _dtype(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def _parts(docs: DataFrame) -> int:
+    """Parts of about PART_BYTES of stored input, as many as shuffles have partitions at least."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
+
+
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int, cut=spaced_words, vocabulary: int = 50_257,
                       id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Writes the corpus below out, in ascending order of ids; returns the manifest with bases."""
     spark = docs.sparkSession
     ship(spark, path)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or _parts(docs)
     dtype = _dtype(vocabulary)
 
     def write(batches):
         name, encode, (fs, root) = f"part-{uuid.uuid4().hex}", encoder(shipped(path), cut), opener(out)
         fs.create_dir(root, recursive=True)
-        offsets, ids, nulls, n = [0], [], [], 0
+        offsets, ids, nulls, n = array("q", [0]), array("q"), bytearray(), 0
         with fs.open_output_stream(f"{root}/{name}.ids") as f:
             for b in batches:
                 for a in range(0, len(b), 4096):
@@ -56,15 +65,16 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int, cut=spa
                         f.write(np.append(t, end_id).astype(dtype).tobytes())
                         n += len(t) + 1
                         offsets.append(n)
-                ids += [0 if x else int(i) for i, x in zip(b["id"].fillna(0), b["none"])]
-                nulls += list(b["none"])
+                ids.frombytes(b["id"].fillna(0).to_numpy(np.int64).tobytes())
+                nulls += b["none"].to_numpy(np.uint8).tobytes()
         if not ids:
             fs.delete_file(f"{root}/{name}.ids")
             return
         with fs.open_output_stream(f"{root}/{name}.off") as f:
-            f.write(np.array(offsets, "<i8").tobytes())
+            f.write(np.asarray(offsets, "<i8").tobytes())
         with fs.open_output_stream(f"{root}/{name}.doc") as f:
-            f.write(np.array(ids, "<i8").tobytes() + np.array(nulls, "u1").tobytes())
+            f.write(np.asarray(ids, "<i8").tobytes())
+            f.write(bytes(nulls))
         yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "name": [name], "n_docs": [len(ids)], "n_tokens": [n]})
 
     text = text_of(text_col)

@@ -299,10 +299,13 @@ def test_texts_of_several_sources(spark):
 # 4: exact search
 
 
-def test_search_with_ties_and_odd_vectors(spark):
+@pytest.mark.parametrize("block", [4096, 24])
+def test_search_with_ties_and_odd_vectors(spark, block, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "AT_ONCE", 50)
     r = np.random.default_rng(5)
     v = [(i, [float(x) for x in r.integers(-3, 4, 6) / 64]) for i in range(400)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (420, [float("inf")] * 6), (403, [1.0, 2.0])]
-    v += [(20, v[20][1]), (None, v[0][1])]
+    v += [(20, v[20][1]), (None, v[0][1])] + [(1001 + 2 * i, [0.5] * 6) for i in range(60)]
     df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>")
     got = defaultdict(list)
     for x in topk.top_k(df, __import__("pyspark").sql.functions.col("vec_id") % 20 == 0).collect():
@@ -316,6 +319,22 @@ def test_search_with_ties_and_odd_vectors(spark):
     assert sorted(map(repr, want)) == sorted(repr((q, sorted(x))) for (_, q), x in got.items())
 
 
+def test_search_of_nothing_and_among_clashing_names(spark, sf):
+    from pyspark.sql import functions as F
+
+    some = spark.read.parquet(f"{sf}/embeddings.parquet").limit(300).cache()
+    wide = some
+    for c in ("row", "cell", "dim", "v", "asks", "block", "n", "packed", "score", "rank", "query_id", "salt", "parts", "some"):
+        wide = wide.withColumn(c, F.lit("x"))
+    rows = lambda d: sorted(tuple(x) for x in topk.op4(d).collect())
+    assert rows(some) == rows(wide) and len(rows(some)) == 20 * some.where("vec_id % 20 = 0").count()
+    none = topk.op4(some.where("vec_id < 0"))
+    assert none.columns == ["query_id", "rank", "vec_id", "score"] and none.isEmpty()
+    assert topk.op4(some.where("vec_id % 20 = 1")).isEmpty()
+    (one,) = [some.where("vec_id = 20")]
+    assert topk.op4(one).isEmpty()
+
+
 def test_cover_tree_covers():
     x = np.floor(64 * np.random.default_rng(1).normal(size=(500, 8)))
     t = topk.CoverTree(x, leaf=8)

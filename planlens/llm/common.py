@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +61,27 @@ def shared_dir(spark: SparkSession) -> str:
     fs, path = _hadoop(spark, at)
     fs.mkdirs(path)
     fs.deleteOnExit(path)
+    for made in _SCRATCH:
+        made.append(at)
     return at
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders that shared_dir() makes inside are removed at the end; what is still to be read must be written before."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH[:] = [x for x in _SCRATCH if x is not made]
+        for at in made:
+            drop_written(spark, at)
+
+
 def _hadoop(spark: SparkSession, at: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

@@ -51,7 +51,7 @@ def ranked(margins: DataFrame) -> DataFrame:
 def relabelled(plans: DataFrame, margins: DataFrame) -> DataFrame:
     """Plans with districts numbered from the safest on."""
     new = ranked(margins).select("plan", "district", (F.col("q") - 1).cast("int").alias("new"))
-    return plans.join(F.broadcast(new), ["plan", "district"]).select("plan", "k", "atom_id", F.col("new").alias("district"))
+    return plans.join(new, ["plan", "district"]).select("plan", "k", "atom_id", F.col("new").alias("district"))
 
 
 def safe_count(margins: DataFrame) -> DataFrame:
@@ -112,9 +112,8 @@ def county_adjacency(inst: Instance) -> DataFrame:
 
 def free_counties(inst: Instance, plans: DataFrame) -> DataFrame:
     """plan, county: counties in one district only, which a neighbourhood search may pin."""
-    every = plans.select("plan").distinct().join(inst.atom.select("county").distinct())
-    split = plans.join(inst.atom.select("atom_id", "county"), "atom_id").groupBy("plan", "county").agg(F.min("district").alias("lo"), F.max("district").alias("hi")).where("lo != hi")
-    return every.join(split.select("plan", "county"), ["plan", "county"], "left_anti")
+    d = plans.join(inst.atom.select("atom_id", "county"), "atom_id").groupBy("plan", "county").agg(F.min("district").alias("lo"), F.max("district").alias("hi"))
+    return d.where("lo = hi").select("plan", "county")
 
 
 def first_used_atom(plans: DataFrame) -> DataFrame:

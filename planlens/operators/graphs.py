@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,18 +13,34 @@ from planlens.model import Instance
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, removed when the driver ends; a temporary one only where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="planlens-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    at = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    fs, path = _hadoop(spark, at)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def _hadoop(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _drop(spark: SparkSession, df_at: str) -> None:
+    fs, path = _hadoop(spark, df_at)
+    fs.delete(path, True)
+
+
+def _cut(df: DataFrame, at: str | None = None) -> DataFrame:
     """df written to the shared folder and read again, so that lineage stays short."""
-    at = _folder(df.sparkSession)
-    df.write.parquet(at)
+    at = at or _folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
@@ -34,16 +51,24 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None,
     """
     by = by or []
     e = _cut(edges.select(*by, "u", "v").unionByName(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    now = _cut(nodes.select(*by, "atom_id", F.col("atom_id").alias("label")))
+    spark = nodes.sparkSession
+    old = _folder(spark)
+    now = _cut(nodes.select(*by, "atom_id", F.col("atom_id").alias("label")), old)
     for _ in range(most_rounds):
         near = e.join(now.withColumnsRenamed({"atom_id": "v", "label": "near"}), [*by, "v"]).groupBy(*by, "u").agg(F.min("near").alias("near"))
         step = now.join(near.withColumnRenamed("u", "atom_id"), [*by, "atom_id"], "left").select(*by, "atom_id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        step = _cut(step)
-        jump = step.select(*by, F.col("atom_id").alias("new"), F.col("new").alias("far"))
-        nxt = _cut(step.join(jump, [*by, "new"], "left").select(*by, "atom_id", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
-        if nxt.where("label != new").isEmpty():
+        half, new = _folder(spark), _folder(spark)
+        step = _cut(step, half)
+        # Only labels that others point to are looked up; few are, and partial sums find them.
+        roots = step.select(*by, F.col("new").alias("atom_id")).distinct()
+        jump = step.join(roots, [*by, "atom_id"], "left_semi").select(*by, F.col("atom_id").alias("new"), F.col("new").alias("far")).where("far != new")
+        nxt = _cut(step.join(jump, [*by, "new"], "left").select(*by, "atom_id", "label", F.least("new", F.coalesce("far", "new")).alias("new")), new)
+        done = nxt.where("label != new").isEmpty()
+        for at in (old, half):
+            _drop(spark, at)
+        if done:
             return nxt.select(*by, "atom_id", "label")
-        now = nxt.select(*by, "atom_id", F.col("new").alias("label"))
+        now, old = nxt.select(*by, "atom_id", F.col("new").alias("label")), new
     raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from planlens.operators.graphs import _cut as cut
 from planlens.shipping import ship
 
 # The form of a vote column (year and kind, office, party, name) and the offices that aren't statewide partisan contests.
@@ -70,30 +72,36 @@ def off_plurality(blocks: DataFrame, of: str) -> DataFrame:
     return sums.agg(F.coalesce(F.sum(F.col("all") - F.col("most")), F.lit(0)).alias("mass"))
 
 
-def nearest(left: DataFrame, right: DataFrame, width: float, on: str = "atom_id", rounds: int = 40) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, width: float, on: str = "atom_id") -> DataFrame:
     """For each left point (on, x, y) the nearest right point (r_id, x, y), ties to the least r_id; bounded grid rings, no cross join.
 
     Points meet within cells of a grid; those whose best lies within the cell width are settled, the others go on with
-    twice the width.
+    twice the width, until every point is settled. The first width is at most that at which a cell holds one right point
+    on average. Null only for points without a place, or where there is no right point with one.
     """
-    out, rest = None, left.select(on, "x", "y")
-    r = right.select("r_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    if r.isEmpty():
-        return rest.select(on, F.lit(None).cast(r.schema["r_id"].dataType).alias("r_id"))
-    for _ in range(rounds):
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    r = right.where(placed).select("r_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    kind = r.schema["r_id"].dataType
+    box = r.agg(F.count("*").alias("n"), F.greatest(F.max("rx") - F.min("rx"), F.max("ry") - F.min("ry")).alias("side")).first()
+    out = left.where(~placed if box.n else F.lit(True)).select(on, F.lit(None).cast(kind).alias("r_id"))
+    rest = left.where(placed).select(on, "x", "y")
+    if not box.n or rest.isEmpty():
+        return out
+    if box.side:
+        width = min(width, box.side / math.sqrt(box.n))
+    while True:
         near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
         a = rest.withColumn("di", near).withColumn("dj", near)
         a = a.select(on, "x", "y", (F.floor(F.col("x") / width) + F.col("di")).alias("i"), (F.floor(F.col("y") / width) + F.col("dj")).alias("j"))
         b = r.select("*", F.floor(F.col("rx") / width).alias("i"), F.floor(F.col("ry") / width).alias("j"))
         d = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
         found = a.join(b, ["i", "j"]).groupBy(on).agg(F.min(F.struct(d.alias("d"), F.col("r_id"))).alias("m")).where(F.col("m.d") <= width * width)
-        found = found.select(on, F.col("m.r_id").alias("r_id"))
-        out = found if out is None else out.unionByName(found)
-        rest = rest.join(found, on, "left_anti")
+        found = cut(found.select(on, F.col("m.r_id").alias("r_id")))
+        out = out.unionByName(found)
+        rest = cut(rest.join(found, on, "left_anti"))
         if rest.isEmpty():
             return out
         width *= 2
-    return out.unionByName(rest.select(on, F.lit(None).cast(r.schema["r_id"].dataType).alias("r_id")))
 
 
 def filled(atoms: DataFrame, covered: DataFrame, width: float = 1.0) -> DataFrame:

@@ -26,7 +26,7 @@ def verify(inst: Instance, plans: DataFrame, regime: Regime) -> DataFrame:
     lo, hi = safety.pop_window(F.col("total"), F.col("k"), regime.eps)
     head = labels.select("plan", "k", F.array_compact(F.array(size, range_)).alias("head"), lo.alias("lo"), hi.alias("hi"))
     good = plans.where((F.col("district") >= 0) & (F.col("district") < F.col("k")))
-    pops = D.district_pop(inst, good).join(district_components(inst, good), ["plan", "district"], "left").join(F.broadcast(head.select("plan", "lo", "hi")), "plan")
+    pops = D.district_pop(inst, good).join(district_components(inst, good), ["plan", "district"], "left").join(head.select("plan", "lo", "hi"), "plan")
     name = F.concat(F.lit("district "), F.col("district").cast("string"))
     empty = F.when(F.col("atoms") == 0, F.concat(name, F.lit(" empty")))
     pop = F.when((F.col("atoms") > 0) & ~F.col("pop").between(F.col("lo"), F.col("hi")), F.concat(name, F.lit(" population")))

@@ -26,19 +26,18 @@ def load(spark: SparkSession, name: str, path: str) -> Instance:
 
 
 def grid(spark: SparkSession, rows: int, cols: int, seed: int = 0, diagonals: bool = True, popmax: int = 4, counties: int = 1) -> Instance:
-    """A random toy: a grid with some diagonals, populations 1..popmax, clustered votes in one contest A; the same for a seed."""
+    """A random toy: a grid with some diagonals, populations 1..popmax, one contest A that leans by waves over the grid, counties as bands of columns; the same for a seed."""
     r = np.random.default_rng(seed)
     n = rows * cols
     i, j = np.divmod(np.arange(n), cols)
-    pop = r.integers(1, popmax + 1, n)
-    center = r.uniform(0, 1, 2) * (rows, cols)
-    share = np.clip(0.35 + 0.4 * np.exp(-((i - center[0]) ** 2 + (j - center[1]) ** 2) / (rows + cols)) + r.normal(0, 0.08, n), 0.02, 0.98)
-    total = pop * r.integers(20, 40, n)
-    d = r.binomial(total, share)
+    pop = 1 + r.permutation(n) % popmax
+    wave = np.sin(r.uniform(0, 6) + 1.7 * i / rows) + np.cos(r.uniform(0, 6) + 2.3 * j / cols)
+    total = 15 * pop + r.integers(0, 12, n)
+    d = np.round(total * (0.5 + 0.12 * wave + r.uniform(-0.1, 0.1, n))).astype(np.int64)
     edges = [(a, a + 1) for a in range(n) if a % cols < cols - 1] + [(a, a + cols) for a in range(n - cols)]
     if diagonals:
         edges += [(a, a + cols + 1) for a in range(n - cols) if a % cols < cols - 1 and r.random() < 0.5]
-    county = r.integers(0, counties, n)
+    county = j * counties // cols
     atom = pd.DataFrame({"atom_id": np.arange(n), "geoid": [f"g{a}" for a in range(n)], "county": county, "pop": pop, "x": j.astype(float), "y": i.astype(float)})
     vote = pd.DataFrame({"atom_id": np.arange(n), "contest": "A", "d": d, "r": total - d})
     return Instance(spark.createDataFrame(atom, ATOM), spark.createDataFrame(vote, VOTE), spark.createDataFrame(pd.DataFrame(edges, columns=["u", "v"]), EDGE))

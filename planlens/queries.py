@@ -12,12 +12,14 @@ from planlens.functions import safety
 from planlens.model import Instance, Regime
 from planlens.operators import brackets as B
 from planlens.operators import cells as C
+from planlens.operators import decide as DC
 from planlens.operators import districts as D
 from planlens.operators import graphs as G
 from planlens.operators import ingest as I
 from planlens.operators import search as S
 from planlens.plans import reports, verify
 from planlens.sources import fixtures as X
+from planlens.sources import instances as IN
 from planlens.sources import runs as RU
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -796,3 +798,116 @@ def neighbourhood_search(spark, d):
     r = Regime("D", (0, 1), (1, 5), ("A",), None)
     start = S.best_of(S.search(i, r, 3, 1, seeds=2, steps=20))
     return S.improve(i, r, start, 3, 1, seeds=4, free=2).select("plan", "n", "d").distinct()
+
+
+# Larger instances: the customers' chains are forests, so their parts are atoms less inner edges.
+
+FOREST = """
+inside AS (SELECT p.plan, p.district, count(*) AS n FROM edge e JOIN plan p ON p.atom_id = e.u JOIN plan q ON q.atom_id = e.v AND q.plan = p.plan AND q.district = p.district GROUP BY ALL),
+parts AS (SELECT plan, district, (count(*) - coalesce(any_value(n), 0))::BIGINT AS parts FROM plan LEFT JOIN inside USING (plan, district) GROUP BY ALL)"""
+
+
+def _customers(sql: str) -> str:
+    """SQL over the nation instance and its parts, over the customer instance."""
+    sql = sql.replace(NATION, CUSTOMER)
+    a = sql.index("nb AS (SELECT")
+    z = sql.index("parts AS (SELECT plan, district, count(DISTINCT label)")
+    z = sql.index("GROUP BY ALL)", sql.index("USING (plan, atom_id)", z)) + len("GROUP BY ALL)")
+    return sql[:a] + FOREST.strip() + sql[z:]
+
+
+@query(_customers(ORACLE["components_per_district"]))
+def components_per_district_customer(spark, d):
+    return G.district_components(X.customer(spark, d), X.customer_plans(spark, d))
+
+
+@query(_customers(ORACLE["verify_plan"]))
+def verify_plan_customer(spark, d):
+    v = verify.verify(X.customer(spark, d), X.customer_plans(spark, d), BOTH)
+    return v.select("plan", "k", "valid", "safe", "splits", F.array_join("errors", "; ").alias("errors"), F.array_max("margins").alias("best"), F.array_min("margins").alias("worst"))
+
+
+@query(ORACLE["geofree_bound"].replace(NATION, CUSTOMER))
+def geofree_bound_customer(spark, d):
+    return C.geography_free(X.customer(spark, d), ("D", "A"), grid(spark, FINE), 5, (1, 5)).select("q", "m_n", "m_d", "possible")
+
+
+# Run documents and plan archives
+
+@query(_with(FACT) + "SELECT cap, eps, lo, hi, unknown FROM merged WHERE state = 'S3' AND party = 'D' AND q = 2")
+def bracket_lookup(spark, d):
+    return reports.lookup(_merged(spark, d), "S3", "D", 2).select("cap", "eps", _n("lo"), _n("hi"), "unknown")
+
+
+@query(_with(NATION) + "SELECT plan, substr(sha256(unhex(string_agg(printf('%02x00', district), '' ORDER BY atom_id))), 1, 16) AS plan_hash FROM plan GROUP BY plan")
+def plan_hashes(spark, d):
+    return IN.plan_hashes(X.nation_plans(spark, d))
+
+
+@query(_with(NATION) + """, h AS (SELECT plan, substr(sha256(unhex(string_agg(printf('%02x00', district), '' ORDER BY atom_id))), 1, 16) AS plan_hash FROM plan GROUP BY plan)
+SELECT plan_hash, plan, count(*) AS atoms, sum(district)::BIGINT AS labels FROM plan JOIN h USING (plan) WHERE plan IN ('row', 'mod4') GROUP BY ALL""")
+def plan_archive(spark, d):
+    plans = X.nation_plans(spark, d)
+    wanted = IN.plan_hashes(plans.where("plan in ('row', 'mod4')")).select("plan_hash")
+    return IN.from_archive(wanted, plans).groupBy("plan_hash", "plan").agg(F.count("*").alias("atoms"), F.sum("district").alias("labels"))
+
+
+def _run_documents(spark, d):
+    """The bracket facts as run documents: a map from q to JSON text."""
+    f = X.bracket_facts(spark, d).groupBy("tag", "state", "party", "cap", "eps", "regime", "q").agg(F.max("lo.n").alias("lo"), F.min("hi.n").alias("hi"))
+    text = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.col(c).cast("string"), F.lit("/400")))
+    per = F.to_json(F.struct(F.lit(0).alias("lo"), F.array().cast("array<int>").alias("unknown"), text("lo").alias("best_margin"), text("hi").alias("hi_m")))
+    entry = F.struct(F.col("q").cast("string").alias("key"), per.alias("value"))
+    docs = f.groupBy("tag", "state", "party", "cap", "eps", "regime").agg(F.collect_list(entry).alias("e"))
+    one = F.array(F.struct(F.lit("regime").alias("key"), F.col("regime").alias("value")))
+    return docs.select("tag", F.concat_ws("_", "state", "party", F.col("cap").cast("string")).alias("job"), F.lit(1.0).alias("seconds"), "state", "party", "cap", "eps",
+                       F.array(F.lit("A")).alias("contests"), F.map_from_entries(F.when(F.col("regime") == "feasible", F.concat("e", one)).otherwise(one)).alias("spectrum"))
+
+
+@query(_with(FACT) + """SELECT tag, state, party, cap, eps, regime, q, lo, hi FROM (SELECT tag, state, party, cap, eps, regime, q, max(lo) AS lo, min(hi) AS hi FROM fact WHERE regime = 'feasible' GROUP BY ALL)
+UNION ALL SELECT DISTINCT tag, state, party, cap, eps, regime, NULL::INTEGER, NULL, NULL FROM fact WHERE regime <> 'feasible'""")
+def run_document_facts(spark, d):
+    return RU.facts(_run_documents(spark, d)).select("tag", "state", "party", "cap", "eps", "regime", "q", _n("lo"), _n("hi"))
+
+
+@query(_with(FACT) + "SELECT state, party, cap, eps, q, 'free' AS status, NULL::BIGINT AS lo, hi FROM merged WHERE hi IS NOT NULL")
+def bound_documents(spark, d):
+    free = _merged(spark, d).where("hi is not null").select(*B.KEY, "q", "hi")
+    return RU.bound_docs(free, "free").select(*B.KEY, "q", "status", _n("lo"), _n("hi"))
+
+
+@query(_with(NATION, STATS) + f""", ok AS (SELECT plan, valid FROM ({ORACLE["verify_plan"]}) v)
+SELECT r.plan, r.q::INTEGER AS q FROM ranked r JOIN ok USING (plan) WHERE NOT (valid AND abs(r.margin - r.q / 100.0::DOUBLE) < 1e-15)""")
+def plan_reverification(spark, d):
+    inst, plans = X.nation(spark, d), X.nation_plans(spark, d)
+    claims = D.ranked(D.robust_margins(inst, plans, BOTH)).select("plan", F.col("q").cast("int").alias("q"), F.struct(F.col("q").cast("bigint").alias("n"), F.lit(100).cast("bigint").alias("d")).alias("margin"))
+    return verify.reverify(inst, plans, claims, BOTH).select("plan", "q")
+
+
+@query(_with(FACT) + """SELECT state, party, cap / 4.0::DOUBLE AS frac, (1000 * cap)::INTEGER AS atoms, q, hi - lo AS width FROM merged WHERE eps = '1/100' AND lo IS NOT NULL AND hi IS NOT NULL""")
+def resolution_ladder(spark, d):
+    docs = _merged(spark, d).where("eps = '1/100' and lo is not null and hi is not null")
+    docs = docs.withColumn("frac", F.col("cap") / F.lit(4.0)).withColumn("atoms", (F.col("cap") * 1000).cast("int"))
+    return reports.ladder(docs).withColumn("width", F.round(F.col("width") * 4).cast("bigint"))
+
+
+# Decisions (rows only; tests compare them with enumeration)
+
+@query()
+def decide_cells(spark, d):
+    """Status of each q at four margins, over the cells of the nation instance."""
+    i = X.nation(spark, d)
+    r = [Regime(p, (0, 1), (1, 5), ("A",), None) for p in "DR"]
+    asked = spark.createDataFrame([(j, q, n, n, 100) for j in range(2) for q in range(1, 6) for n in (-5, 0, 2, 20)], DC.ASKED)
+    a = DC.answers(i, 5, r, asked, 1500)
+    return a.select("job", "q", "n", "d", "status", "cells", "achieved_n", "achieved_d")
+
+
+@query()
+def spectrum_brackets(spark, d):
+    """Run documents of the nation instance cut in two, read as facts."""
+    i = X.nation(spark, d)
+    docs = DC.run_documents(i, "N", 2, [Regime(p, (0, 1), (1, 20), ("A",), None) for p in "DR"], 50, 3000)
+    first = F.get("records", F.lit(0))
+    facts = RU.facts(docs.withColumn("tag", F.lit("main")).select("tag", "job", "seconds", "state", "party", "spectrum", *[first[c].alias(c) for c in ("cap", "eps", "contests")]))
+    return facts.select("state", "party", "cap", "eps", "regime", "q", "lo", "hi", "unknown")

@@ -31,6 +31,8 @@ from planlens.llm.common import ship, text_of, written
 
 #: Labelled documents of a language that the model is fitted on; bytes in an n-gram; cells of the model's table.
 PER_LANGUAGE, GRAM, CELLS = 500, 3, 1 << 15
+#: Languages whose row counts are broadcast.
+MOST_LANGUAGES = 50_000
 #: N-grams that a text counts for at most; weight, in pages, of the level above a host or suffix; of an unseen declaration.
 EFFECTIVE, STRENGTH, UNSEEN = 60.0, 5.0, 1.0
 
@@ -78,7 +80,9 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     d = d.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     # Hashes are spread evenly, so those below a share of their range hold all that is wanted (4 times as many rows), and
     # no task sees more, however many tasks there are; equal rows count once.
-    sizes = d.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).withColumnRenamed("lang", "_lang")
+    sizes = written(d.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).withColumnRenamed("lang", "_lang"))
+    if sizes.count() <= MOST_LANGUAGES:  # else a join that moves the texts
+        sizes = F.broadcast(sizes)
     share = F.lit(4.0 * per_language) / F.col("n")
     few = d.join(sizes, F.col("lang") == F.col("_lang")).where((F.col("h").cast("double") + 2.0**63) / 2.0**64 < share)
     few = few.groupBy("lang", "h").agg(F.first("text").alias("text"))

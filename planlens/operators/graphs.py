@@ -91,9 +91,9 @@ def bridges(nodes: DataFrame, edges: DataFrame) -> list[tuple[int, int, float]]:
     """Edges that join all components to the one of most population, nearest atoms first. nodes: atom_id, pop, x, y.
 
     A component at a time, by population: the main one takes in the next by its nearest pair of atoms, found in cells of
-    a grid whose width grows until a pair is seen.
+    a grid whose width grows until a pair is seen. Atoms without a place can't be joined, nor can components of only such.
     """
-    found = _cut(components(nodes.select("atom_id"), edges).join(nodes, "atom_id"))
+    found = _cut(components(nodes.select("atom_id"), edges).join(nodes.where("x is not null and y is not null"), "atom_id"))
     order = [r.label for r in found.groupBy("label").agg(F.sum("pop").alias("pop")).orderBy(F.col("pop").desc(), "label").collect()]
     out, main = [], order[:1]
     for label in order[1:]:

@@ -150,17 +150,30 @@ def within(points: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
 
 
 def adjacency(polygons: DataFrame, width: float, least: float) -> DataFrame:
-    """u < v: polygons (poly_id, ring) whose rings share edges of at least this total length; edges meet by their corners."""
+    """u < v: polygons (poly_id, ring) whose rings run along each other, at most width apart, for at least this length in all.
+
+    Corners needn't meet. Edges are cut into pieces of a grid cell's length, so that a piece lies in a few cells; pieces
+    meet in cells, and where both ends of one lie near the line of the other, the length of their overlap counts.
+    """
     n = F.size("ring")
-    edge = F.explode(F.transform("ring", lambda p, i: F.struct(p.alias("a"), F.element_at("ring", (i + 1) % n + 1).alias("b"))))
-    e = polygons.select("poly_id", edge.alias("e")).select("poly_id", "e.a", "e.b")
-    key = lambda p: F.struct(F.round(p["x"] / width).alias("x"), F.round(p["y"] / width).alias("y"))
-    a, b = F.col("a"), F.col("b")
-    e = e.select("poly_id", F.least(key(a), key(b)).alias("lo"), F.greatest(key(a), key(b)).alias("hi"),
-                 F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2).alias("len")).distinct()
-    other = e.select(F.col("poly_id").alias("v"), "lo", "hi")
-    both = e.withColumnRenamed("poly_id", "u").join(other, ["lo", "hi"]).where("u < v")
-    return both.groupBy("u", "v").agg(F.sum("len").alias("len")).where(F.col("len") >= least).select("u", "v")
+    edge = F.posexplode(F.transform("ring", lambda p, i: F.struct(p.alias("a"), F.element_at("ring", (i + 1) % n + 1).alias("b"))))
+    e = polygons.select("poly_id", edge.alias("nth", "e")).select("poly_id", "nth", *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
+    e = e.withColumn("len", F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)).where("len > 0")
+    cell = F.lit(max(e.agg(F.avg("len")).first()[0] or 0.0, 4 * width, 1e-300))
+    e = e.withColumn("m", F.ceil(F.col("len") / cell)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    on = lambda c, t: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * t / F.col("m")
+    p = e.select("poly_id", F.struct("nth", "i").alias("piece"), *[on(c, F.col("i") + k).alias(f"{c}{k}") for k in (0, 1) for c in "xy"], (F.col("len") / F.col("m")).alias("len"))
+    reach = lambda c: F.explode(F.sequence(F.floor((F.least(f"{c}0", f"{c}1") - width) / cell), F.floor((F.greatest(f"{c}0", f"{c}1") + width) / cell)))
+    p = p.withColumn("ci", reach("x")).withColumn("cj", reach("y"))
+    q = p.select("ci", "cj", *[F.col(c).alias(f"v_{c}") for c in ("poly_id", "piece", "x0", "y0", "x1", "y1")])
+    both = p.join(q, ["ci", "cj"]).where("poly_id < v_poly_id")
+    dx, dy = (F.col("x1") - F.col("x0")) / F.col("len"), (F.col("y1") - F.col("y0")) / F.col("len")
+    along = lambda k: (F.col(f"v_x{k}") - F.col("x0")) * dx + (F.col(f"v_y{k}") - F.col("y0")) * dy
+    off = lambda k: F.abs((F.col(f"v_y{k}") - F.col("y0")) * dx - (F.col(f"v_x{k}") - F.col("x0")) * dy)
+    overlap = F.least(F.col("len"), F.greatest(along(0), along(1))) - F.greatest(F.lit(0.0), F.least(along(0), along(1)))
+    both = both.where((off(0) <= width) & (off(1) <= width)).select(F.col("poly_id").alias("u"), F.col("v_poly_id").alias("v"), "piece", "v_piece", overlap.alias("o")).where("o > 0")
+    # Two pieces may meet in several cells.
+    return both.distinct().groupBy("u", "v").agg(F.sum("o").alias("o")).where(F.col("o") >= least * (1 - 1e-9)).select("u", "v")
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

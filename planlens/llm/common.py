@@ -87,11 +87,25 @@ def _hadoop(spark: SparkSession, at: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Fewer rows in a batch for Python while something is written, where the session has Spark's own default: texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if before == "10000":
+        spark.conf.set(key, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, at: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     at = at or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+    with small_batches(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

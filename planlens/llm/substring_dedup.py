@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planlens.llm.common import opener, shared_dir, ship, text_of, written
+from planlens.llm.common import opener, shared_dir, ship, small_batches, text_of, written
 from planlens.llm.suffix_array import suffix_array
 
 SPAN, KMER, BLOCK = 200, 100, 20
@@ -149,7 +149,8 @@ def _pid():
 
 
 def _by_pid(d: DataFrame, out: str) -> None:
-    d.withColumn("pid", _pid()).write.mode("overwrite").option("compression", "zstd").partitionBy("pid").parquet(out)
+    with small_batches(d.sparkSession):
+        d.withColumn("pid", _pid()).write.mode("overwrite").option("compression", "zstd").partitionBy("pid").parquet(out)
 
 
 def _part(at: str, pid: int, columns: list[str], size: int = 512) -> Iterator[pa.RecordBatch]:

@@ -109,9 +109,9 @@ def link(scanned: DataFrame, scope: int = SCOPE, id_col: str = "doc_id") -> Data
     role = F.element_at(F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv)), F.col("s.kind"))
     busy = scanned.where((F.size("weak") > 0) & (F.size("base") + F.size("weak") > 1))
     bucket = lambda a, b: F.explode(F.sequence(F.floor(a / scope).cast("int"), F.floor(b / scope).cast("int")))
-    weak = busy.select(*key, F.explode(F.array_distinct("weak")).alias("s"))
+    weak = busy.select(*key, F.explode("weak").alias("s"))
     weak = weak.select("_id", "_key", "s", role.alias("role"), bucket(F.greatest(F.col("s.start") - scope, F.lit(0)), F.col("s.end") + scope).alias("at"))
-    parts = busy.select(*key, F.explode(F.array_distinct(F.concat("base", "weak"))).alias("s"))
+    parts = busy.select(*key, F.explode(F.concat("base", "weak")).alias("s"))
     parts = parts.select(F.col("_id").alias("p_id"), F.col("_key").alias("p_key"), F.col("s").alias("p"), role.alias("p_role"),
                          bucket(F.col("s.start"), F.greatest(F.col("s.end") - 1, F.col("s.start"))).alias("p_at")).distinct()
     near = (F.col("p.start") <= F.col("s.end") + scope) & (F.col("s.start") <= F.col("p.end") + scope)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planlens.functions import safety
 from planlens.model import Instance, Regime
+from planlens.operators.graphs import _cut as cut
 
 
 def quotient_edges(edge: DataFrame, cell_of: DataFrame) -> DataFrame:
@@ -61,34 +62,54 @@ def envelope_scalars(mass: DataFrame, cell_of: DataFrame) -> DataFrame:
         if_(neg).alias("zneg"), if_(pos).alias("zpos"))
 
 
-def _by_density(upper: bool) -> list[Column]:
-    density = F.col("mass") / F.col("pop")
-    return [density.desc() if upper else density.asc(), F.col("atom_id").asc()]
+def ranked(d: DataFrame, keys: list[str], upper: bool = True, buckets: int | None = None) -> DataFrame:
+    """d (keys..., atom_id, pop > 0, mass) by density in each group: rank t and the sums of pop and mass before each row (x, v); ties by atom_id.
+
+    No group is ranked in one task. Quantiles of its densities cut it into buckets; rows whose density is itself a
+    quantile, which may be many, lie apart and are cut by quantiles of their ids. The buckets' sums place them, and only
+    rows of one bucket are ranked together. Quantiles are approximate and decide only how the work is dealt; they are
+    written down, so that a task that runs again meets the same ones.
+    """
+    n = buckets or max(8, min(512, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    at = [i / n for i in range(1, n)]
+    d = d.withColumn("_r", F.col("mass") / F.col("pop") * (-1 if upper else 1))
+    quantiles = lambda c: F.array_distinct(F.percentile_approx(c, at))
+    cuts = cut(d.groupBy(*keys).agg(quantiles("_r").alias("_rs"), quantiles("atom_id").alias("_ids")))
+    below = lambda a, c: F.size(F.filter(a, lambda v: v < F.col(c)))
+    hot = F.array_contains("_rs", F.col("_r"))
+    place = F.struct(below("_rs", "_r").alias("s"), hot.alias("hot"), F.when(hot, below("_ids", "atom_id")).otherwise(0).alias("i"))
+    d = d.join(cuts, keys).withColumn("_b", place).drop("_rs", "_ids")
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sums = d.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.sum("pop").alias("_x"), F.sum("mass").alias("_v"))
+    start = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    starts = sums.select(*keys, "_b", start("_n").alias("_n"), start("_x").alias("_x"), start("_v").alias("_v"))
+    inside = W.partitionBy(*keys, "_b").orderBy("_r", "atom_id")
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.withColumn("t", F.row_number().over(inside) - 1).withColumn("x", F.sum("pop").over(upto) - F.col("pop")).withColumn("v", F.sum("mass").over(upto) - F.col("mass"))
+    d = d.join(starts, [*keys, "_b"])
+    return d.select(*keys, "atom_id", "pop", "mass", *[(F.col(f"_{a}") + F.col(b)).alias(b) for a, b in (("n", "t"), ("x", "x"), ("v", "v"))])
 
 
 def knapsack_prefix(mass: DataFrame, cell_of: DataFrame, upper: bool = True) -> DataFrame:
     """Populated atoms of each cell and contest in order of density, with rank and the sums before each (x, v)."""
-    w = W.partitionBy("cell", "contest").orderBy(*_by_density(upper))
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    d = mass.where("pop > 0").join(cell_of, "atom_id")
-    return d.select("cell", "contest", "atom_id", "pop", "mass", (F.row_number().over(w) - 1).alias("t"),
-                    F.coalesce(F.sum("pop").over(before), F.lit(0)).alias("x"), F.coalesce(F.sum("mass").over(before), F.lit(0)).alias("v"))
+    d = mass.where("pop > 0").join(cell_of, "atom_id").select("cell", "contest", "atom_id", "pop", "mass")
+    return ranked(d, ["cell", "contest"], upper)
 
 
 def knapsack_tangents(mass: DataFrame, cell_of: DataFrame, upper: bool = True, points: int = 10) -> DataFrame:
     """cell, contest, t, a, b, r: tangents a * c - b * x <= r (>= below) of the envelope at quantiles of population."""
+    key = ["cell", "contest"]
     p = knapsack_prefix(mass, cell_of, upper)
-    total = p.groupBy("cell", "contest").agg(F.sum("pop").alias("total"), (F.max("t")).alias("last"))
-    z = envelope_scalars(mass, cell_of).select("cell", "contest", F.col("zpos" if upper else "zneg").alias("z"))
-    q = p.join(total, ["cell", "contest"]).join(z, ["cell", "contest"])
+    z = envelope_scalars(mass, cell_of).select(*key, F.col("zpos" if upper else "zneg").alias("z"))
+    sums = mass.where("pop > 0").join(cell_of, "atom_id").groupBy(*key).agg(F.sum("pop").alias("total"), (F.count("*") - 1).alias("last"))
     # Atom t is taken if it is first or last or the first to begin at or after a quantile i * total / (points - 1).
-    step = points - 1
-    prev = F.lag("x").over(W.partitionBy("cell", "contest").orderBy("t"))
-    q = q.withColumn("prev", prev)
-    begins = F.floor(F.col("x") * step / F.col("total")) >= F.floor(F.col("prev") * step / F.col("total")) + 1
-    q = q.where((F.col("t") == 0) | (F.col("t") == F.col("last")) | begins)
+    row = F.struct("t", "pop", "mass", "x", "v")
+    part = F.floor(F.col("x") * (points - 1) / F.col("total"))
+    ends = p.join(sums, key).groupBy(*key, "last", part.alias("part")).agg(F.min_by(row, "t").alias("first"), F.max_by(row, "t").alias("end"))
+    taken = F.when(F.col("end.t") == F.col("last"), F.array_distinct(F.array("first", "end"))).otherwise(F.array("first"))
+    q = ends.select(*key, F.explode(taken).alias("p")).select(*key, "p.*").join(z, key)
     a, b = F.col("pop"), F.col("mass")
-    return q.select("cell", "contest", "t", a.alias("a"), b.alias("b"), (a * (F.col("z") + F.col("v")) - b * F.col("x")).alias("r"))
+    return q.select(*key, "t", a.alias("a"), b.alias("b"), (a * (F.col("z") + F.col("v")) - b * F.col("x")).alias("r"))
 
 
 def median_split(inst: Instance, cell_of: DataFrame) -> DataFrame:
@@ -122,7 +143,7 @@ def geography_free(inst: Instance, regime_of, grid: DataFrame, k: int, eps: tupl
 
     q safe districts of population L..U take a population X with q L <= X <= q U and (k - q) L <= T - X <= (k - q) U; the
     most mass that X can hold is the fractional knapsack's envelope, which is concave, so its largest value over the
-    range lies at the range's end nearest its peak. Atoms of each margin are ranked by density in one window.
+    range lies at the range's end nearest its peak.
     """
     party, contest = regime_of
     p, o = safety.party_votes(party)
@@ -131,15 +152,14 @@ def geography_free(inst: Instance, regime_of, grid: DataFrame, k: int, eps: tupl
     mass = (F.col("m_d") - 2 * F.col("m_n")) * F.col("p") - (F.col("m_d") + 2 * F.col("m_n")) * F.col("o")
     d = d.withColumn("mass", mass)
     zero = d.groupBy("m_n", "m_d").agg(F.sum(F.when(F.col("pop") == 0, F.greatest("mass", F.lit(0))).otherwise(F.lit(0))).alias("z"), F.sum("pop").alias("total"))
-    w = W.partitionBy("m_n", "m_d").orderBy((F.col("mass") / F.col("pop")).desc(), "atom_id").rowsBetween(W.unboundedPreceding, -1)
-    e = d.where("pop > 0").select("m_n", "m_d", "pop", "mass", F.coalesce(F.sum("pop").over(w), F.lit(0)).alias("x"), F.coalesce(F.sum("mass").over(w), F.lit(0)).alias("v"))
+    e = ranked(d.where("pop > 0").select("m_n", "m_d", "atom_id", "pop", "mass"), ["m_n", "m_d"])
     lo, hi = safety.pop_window(F.col("total"), F.lit(k), eps)
     q = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("q")
     r = zero.withColumn("lo", lo).withColumn("hi", hi).select("*", q)
     r = r.withColumn("from", F.greatest(F.col("q") * F.col("lo"), F.col("total") - (k - F.col("q")) * F.col("hi")))
     r = r.withColumn("to", F.least(F.col("q") * F.col("hi"), F.col("total") - (k - F.col("q")) * F.col("lo")))
     # The best value on [from, to]: over each atom's piece of the envelope that meets the range.
-    b = e.join(r, ["m_n", "m_d"]).where((F.col("x") <= F.col("to")) & (F.col("x") + F.col("pop") >= F.col("from")) & (F.col("from") <= F.col("to")))
+    b = e.join(F.broadcast(r), ["m_n", "m_d"]).where((F.col("x") <= F.col("to")) & (F.col("x") + F.col("pop") >= F.col("from")) & (F.col("from") <= F.col("to")))
     at = lambda x: F.col("v") * F.col("pop") + F.col("mass") * (x - F.col("x")) + F.col("z") * F.col("pop")  # noqa: E731  times pop
     left, right = F.greatest("x", "from"), F.least(F.col("x") + F.col("pop"), F.col("to"))
     ok = b.groupBy("m_n", "m_d", "q").agg(F.bool_or((at(left) >= 0) | (at(right) >= 0)).alias("ok"))

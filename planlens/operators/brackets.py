@@ -122,6 +122,29 @@ def unresolved(merged: DataFrame, gap: tuple[int, int], null_is_open: bool = Tru
     return merged.where(F.coalesce(wide, F.lit(null_is_open)) & ~F.coalesce(F.col("lo").isNull() & (F.col("hi.n") <= 0), F.lit(False)))
 
 
+def open_jobs(merged: DataFrame, gap: tuple[int, int], rule: str, seats: DataFrame | None = None) -> DataFrame:
+    """KEY of jobs with a bracket wider than gap.
+
+    Rule 'escalate': any open end counts as wide, but not where nothing reaches 0 for sure. Rule 'sweep': only brackets
+    of q below the state's seats (state, k) with a positive upper end count, and no known lower end counts as wide.
+    """
+    lo, hi = F.col("lo"), F.col("hi")
+    w = R.minus(hi, lo)
+    wide = w["n"] * gap[1] > gap[0] * w["d"]
+    if rule == "escalate":
+        d = merged.where(~F.coalesce(lo.isNull() & (hi["n"] <= 0), F.lit(False)) & F.coalesce(wide, F.lit(True)))
+    elif rule == "sweep":
+        d = merged.join(seats, "state").where((F.col("q") < F.col("k")) & (hi["n"] > 0) & (lo.isNull() | wide))
+    else:
+        raise ValueError(f"no such rule: {rule}")
+    return d.select(*KEY).distinct()
+
+
+def named_jobs(jobs: DataFrame, names: list[str]) -> DataFrame:
+    """Jobs whose state_party is one of the names; all where there are none."""
+    return jobs.where(F.concat_ws("_", "state", "party").isin(names)) if names else jobs
+
+
 def seat_ranges(bounds: DataFrame, seats: DataFrame) -> DataFrame:
     """state, k, verified and limiting seat ranges of D from both parties' bounds (of one cap, eps and margin). seats: state, k."""
     d = bounds.where("party = 'D'").select("state", F.col("f_lo").alias("d_lo"), F.col("f_hi").alias("d_hi"))

@@ -28,10 +28,16 @@ def coarsen(inst: Instance, cell_of: DataFrame) -> Instance:
     return Instance(a, v, quotient_edges(inst.edge, cell_of).withColumnsRenamed({"a": "u", "b": "v"}))
 
 
+def nested(fine: DataFrame, coarse: DataFrame) -> DataFrame:
+    """cell, outer, one: whether each cell of fine lies in one cell of coarse (both atom_id, cell), and that cell if so."""
+    both = fine.join(coarse.withColumnRenamed("cell", "outer"), "atom_id")
+    lo, hi = F.min("outer"), F.max("outer")
+    return both.groupBy("cell").agg(F.when(lo == hi, lo).alias("outer"), (lo == hi).alias("one"))
+
+
 def refines(fine: DataFrame, coarse: DataFrame) -> DataFrame:
     """refines: whether each cell of fine lies in one cell of coarse (both atom_id, cell)."""
-    both = fine.join(coarse.withColumnRenamed("cell", "outer"), "atom_id")
-    one = both.groupBy("cell").agg((F.min("outer") == F.max("outer")).alias("one"))
+    one = nested(fine, coarse)
     return one.agg(F.coalesce(F.bool_and("one"), F.lit(True)).alias("refines"))
 
 
@@ -138,6 +144,22 @@ def median_split(inst: Instance, cell_of: DataFrame) -> DataFrame:
     return p.join(cut, "cell").select("atom_id", "cell", (F.col("i") > F.col("cut")).cast("int").alias("side"))
 
 
+def bisected(inst: Instance, cell_of: DataFrame, levels: int, leaf: int = 1) -> DataFrame:
+    """level, node, atom_id: a tree of median splits; node 2 n and 2 n + 1 below a node n of more than `leaf` atoms.
+
+    cell_of (atom_id, cell) names the roots, with cells as numbers from 1; a level's nodes are split together, so a tree
+    takes as many rounds as it has levels, whatever its number of nodes.
+    """
+    at = cell_of.select("atom_id", F.col("cell").cast("bigint").alias("cell"))
+    out = at.select(F.lit(0).alias("level"), F.col("cell").alias("node"), "atom_id")
+    for level in range(1, levels + 1):
+        large = at.groupBy("cell").count().where(F.col("count") > leaf).select("cell")
+        split = median_split(inst, at.join(large, "cell"))
+        at = cut(split.select("atom_id", (F.col("cell") * 2 + F.col("side")).alias("cell")))
+        out = out.unionByName(at.select(F.lit(level).alias("level"), F.col("cell").alias("node"), "atom_id"))
+    return out
+
+
 def geography_free(inst: Instance, regime_of, grid: DataFrame, k: int, eps: tuple[int, int]) -> DataFrame:
     """q, m_n, m_d, possible: whether q districts of margin m aren't excluded when geography is left out (one contest).
 

@@ -66,6 +66,12 @@ def straddling(blocks: DataFrame, of: str = "county") -> DataFrame:
     return blocks.groupBy("atom_id").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo != hi").select("atom_id")
 
 
+def disagreeing(found: DataFrame, declared: DataFrame, of: str = "county") -> DataFrame:
+    """atoms, disagree: atoms in both tables (atom_id, of), and how many have unlike values; a null is unlike any value."""
+    both = found.join(declared.select("atom_id", F.col(of).alias("_declared")), "atom_id")
+    return both.agg(F.count("*").alias("atoms"), F.count_if(~F.col(of).eqNullSafe(F.col("_declared"))).alias("disagree"))
+
+
 def off_plurality(blocks: DataFrame, of: str) -> DataFrame:
     """mass: population outside its atom's plurality value."""
     sums = blocks.groupBy("atom_id", of).agg(F.sum("pop").alias("pop")).groupBy("atom_id").agg(F.sum("pop").alias("all"), F.max("pop").alias("most"))
@@ -149,6 +155,62 @@ def within(points: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
     return points.select("id").join(hit, "id", "left")
 
 
+def nearest_polygon(points: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
+    """id, poly_id: the polygon (poly_id, ring) whose ring runs nearest each point (id, x, y), ties to the least poly_id.
+
+    Edges are cut into pieces no longer than the cell width and meet the points in the cells of a grid; points whose best
+    lies within a cell width are settled, the others go on with twice the width. Null where the point has no place or
+    there is no polygon.
+    """
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    edge = F.explode(F.transform("ring", lambda p, i: F.struct(p.alias("a"), F.element_at("ring", (i + 1) % F.size("ring") + 1).alias("b"))))
+    e = polygons.select("poly_id", edge.alias("e")).select("poly_id", *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
+    e = e.withColumn("len", F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2))
+    longest = e.agg(F.max("len")).first()[0]
+    out = points.where(~placed if longest is not None else F.lit(True)).select("id", F.lit(None).cast(polygons.schema["poly_id"].dataType).alias("poly_id"))
+    rest = points.where(placed).select("id", "x", "y")
+    if longest is None or rest.isEmpty():
+        return out
+    while True:
+        cell = F.lit(width)
+        m = F.greatest(F.ceil(F.col("len") / cell), F.lit(1))
+        s = e.withColumn("m", m).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), m - 1)))
+        on = lambda c, t: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * t / F.col("m")
+        s = s.select("poly_id", *[on(c, F.col("i") + k).alias(f"{c}{k}") for k in (0, 1) for c in "xy"])
+        reach = lambda c: F.explode(F.sequence(F.floor(F.least(f"{c}0", f"{c}1") / cell) - 1, F.floor(F.greatest(f"{c}0", f"{c}1") / cell) + 1))
+        s = s.withColumn("ci", reach("x")).withColumn("cj", reach("y"))
+        p = rest.select("*", F.floor(F.col("x") / cell).alias("ci"), F.floor(F.col("y") / cell).alias("cj"))
+        dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        sq = dx * dx + dy * dy
+        t = F.when(sq == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / sq)))
+        ex, ey = F.col("x") - (F.col("x0") + t * dx), F.col("y") - (F.col("y0") + t * dy)
+        got = p.join(s, ["ci", "cj"]).groupBy("id").agg(F.min(F.struct((ex * ex + ey * ey).alias("d"), "poly_id")).alias("m"))
+        got = cut(got.where(F.col("m.d") <= width * width).select("id", F.col("m.poly_id").alias("poly_id")))
+        out = out.unionByName(got)
+        rest = cut(rest.join(got, "id", "left_anti"))
+        if rest.isEmpty():
+            return out
+        width *= 2
+
+
+def in_districts(blocks: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
+    """id, poly_id: each block's polygon, or the nearest one where no polygon holds it. blocks: id, x, y."""
+    inside = cut(within(blocks.select("id", "x", "y"), polygons, width))
+    lone = blocks.select("id", "x", "y").join(inside.where("poly_id is null").select("id"), "id")
+    return inside.where("poly_id is not null").unionByName(nearest_polygon(lone, polygons, width))
+
+
+def enacted_plan(blocks: DataFrame, atoms: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
+    """atom_id, poly_id: the polygon with most of each atom's population (ties to the least), or the nearest to an atom without any.
+
+    blocks: id, atom_id, pop, x, y; atoms: atom_id, x, y.
+    """
+    d = blocks.join(in_districts(blocks, polygons, width), "id").where("poly_id is not null and pop > 0")
+    most = cut(plurality(d.select("atom_id", "poly_id", "pop"), "poly_id"))
+    empty = atoms.select(F.col("atom_id").alias("id"), "x", "y").join(most.select(F.col("atom_id").alias("id")), "id", "left_anti")
+    return most.unionByName(nearest_polygon(empty, polygons, width).withColumnRenamed("id", "atom_id"))
+
+
 def adjacency(polygons: DataFrame, width: float, least: float) -> DataFrame:
     """u < v: polygons (poly_id, ring) whose rings run along each other, at most width apart, for at least this length in all.
 

@@ -92,3 +92,47 @@ def latex_rows(df: DataFrame) -> DataFrame:
 def ladder(docs: DataFrame) -> DataFrame:
     """state, party, frac, atoms, q, width of each resolution step's bracket; docs: state, party, frac, atoms, q, lo, hi."""
     return docs.select("state", "party", "frac", "atoms", "q", B.width(F.col("lo"), F.col("hi")).alias("width"))
+
+
+def headline_numbers(merged: DataFrame, seats: DataFrame, bounds: DataFrame, enacted: DataFrame, checks: DataFrame, ablations: DataFrame, audits: DataFrame, facts: DataFrame) -> DataFrame:
+    """metric, value: the published numbers of one cap and eps, each from its own table.
+
+    merged and bounds (frontier_bounds) are of that cap and eps; seats: state, k, with brackets of q > k left out;
+    enacted: state, party, q, share of the enacted plan's q-th district in percent; checks: state, in_regime, violations;
+    ablations: as in ablation(); audits: name, verdict; facts: unmerged, for consistency. Open widths are infinite.
+    """
+    q, k = F.col("q"), F.col("k")
+    m = merged.join(seats, "state").where(q <= k).withColumn("w", B.width(F.col("lo"), F.col("hi")))
+    tight = F.col("w") <= 0.5 + 1e-9
+    median = lambda c, if_: F.median(F.when(if_, F.col(c)))
+    sizes = seats.agg(F.count("*").alias("n_states"), F.sum("k").alias("seats"))
+    widths = m.agg(F.count("*").alias("brackets"), F.count_if(tight).alias("tight_brackets"), F.count_if(k == 2).alias("k2_brackets"), F.count_if(tight & (k == 2)).alias("k2_tight"),
+                   *[median("w", k == i).alias(f"median_k{i}") for i in (3, 4, 5)])
+    same = F.col("f_lo") == F.col("f_hi")
+    f = B.frontier_bounds(m, bounds.select("m_n", "m_d").distinct())
+    frontier = f.join(seats, "state").agg(F.count("*").alias("F_cases"), F.count_if(same).alias("F_exact"), F.count_if(same & (k == 2)).alias("F_exact_k2"), F.count_if(same & (k > 2)).alias("F_exact_k345"))
+    ranges = B.range_totals(B.seat_ranges(f.where("m_n = 0"), seats)).toDF(
+        "D_verified_min", "D_verified_max", "D_limit_min", "D_limit_max", "forced_states", "R_majority_states", "D_majority_states")
+    wins = enacted.where("party = 'D'").agg(F.count_if(F.col("share") > 50).alias("enacted_D"))
+    valid = checks.agg(F.count_if("in_regime").alias("enacted_in_regime"), F.count("*").alias("enacted_checked"), F.sum("violations").alias("enacted_violations"))
+    gaps = B.enacted_gaps(m, enacted).select(F.col("below").alias("enacted_below"), F.col("median_gap").alias("enacted_gap_median"), F.col("median_gap_first").alias("enacted_gap_q1_median"))
+    # Trivial comparisons, whose free bound is 0 or less and where nothing feasible is known, don't count.
+    a = ablation(m.where("lo is not null"), ablations).unionByName(ablation(m.where("lo is null"), ablations.where("free.n > 0")))
+    gain, more = F.col("gained"), F.col("gained") > 0.05
+    abl = a.agg(F.count("*").alias("abl_nontrivial"), F.median("cells_loss").alias("abl_quot_median"), F.min("cells_loss").alias("abl_quot_min"), F.max("cells_loss").alias("abl_quot_max"),
+                F.count(gain).alias("abl_finite"), F.count_if(more).alias("abl_improved"), F.median(gain).alias("abl_impr_median"), median("gained", q == 1).alias("abl_q1_median"),
+                F.min(F.when((q == 1) & more, gain)).alias("abl_q1_min"), F.max(F.when(q == 1, gain)).alias("abl_q1_max"),
+                F.count("over_search").alias("recom_cmp"), F.count_if(F.col("over_search") > 0).alias("recom_cert_higher"), F.median("over_search").alias("recom_median"),
+                F.min("over_search").alias("recom_min"), F.max("over_search").alias("recom_max"))
+    said = lambda n, v: F.count_if((F.col("name") == n) & ((F.col("verdict") == v) if v else F.lit(True)))
+    audit = audits.agg(*[said(n, v).alias(f"{label}_{v or 'total'}") for n, label in (("main", "audit"), ("k2", "audit_k2"), ("stored", "stored")) for v in ("agree", "disagree", "unknown", "")])
+    broken = B.violations(facts).agg(F.count("*").alias("consistency_violations"))
+    keys = facts.where("regime = 'feasible'").select(*B.KEY).distinct().agg(F.count("*").alias("consistency_keys"))
+
+    def up(d: DataFrame) -> DataFrame:
+        return d.select(*[F.col(c).cast("double").alias(c) for c in d.columns]).unpivot([], d.columns, "metric", "value")
+
+    out = up(sizes)
+    for d in (widths, frontier, ranges, wins, valid, gaps, abl, audit, broken, keys):
+        out = out.unionByName(up(d))
+    return out

@@ -911,3 +911,173 @@ def spectrum_brackets(spark, d):
     first = F.get("records", F.lit(0))
     facts = RU.facts(docs.withColumn("tag", F.lit("main")).select("tag", "job", "seconds", "state", "party", "spectrum", *[first[c].alias(c) for c in ("cap", "eps", "contests")]))
     return facts.select("state", "party", "cap", "eps", "regime", "q", "lo", "hi", "unknown")
+
+
+# Jobs still open, places, trees and the published numbers
+
+SEATS = "seat AS (SELECT DISTINCT state, (2 + substr(state, 2)::INTEGER % 4)::INTEGER AS k FROM merged)"
+
+
+def _seats(merged):
+    return merged.select("state").distinct().withColumn("k", (F.substring("state", 2, 9).cast("int") % 4 + 2).cast("int"))
+
+
+@query(_with(FACT) + "SELECT DISTINCT state, party, cap, eps FROM merged WHERE NOT coalesce(lo IS NULL AND hi <= 0, false) AND coalesce(hi - lo > 8, true)")
+def escalation_jobs(spark, d):
+    return B.open_jobs(_merged(spark, d), (1, 50), "escalate")
+
+
+@query(_with(FACT, SEATS) + "SELECT DISTINCT state, party, cap, eps FROM merged JOIN seat USING (state) WHERE q < k AND hi > 0 AND (lo IS NULL OR hi - lo > 8)")
+def sweep_jobs(spark, d):
+    m = _merged(spark, d)
+    return B.open_jobs(m, (1, 50), "sweep", _seats(m))
+
+
+@query(_with(FACT) + "SELECT DISTINCT state, party, cap, eps FROM merged WHERE state || '_' || party IN ('S1_D', 'S2_R', 'S30_D')")
+def job_filter(spark, d):
+    return B.named_jobs(_merged(spark, d).select(*B.KEY).distinct(), ["S1_D", "S2_R", "S30_D"])
+
+
+@query("""WITH b AS (SELECT o_custkey AS atom_id, ascii(o_orderstatus) * 10 + o_orderkey % 3 AS county, sum(floor(o_totalprice))::BIGINT AS pop FROM orders GROUP BY ALL),
+f AS (SELECT atom_id, arg_min(county, (-pop, county)) AS county FROM b GROUP BY atom_id)
+SELECT count(*) AS atoms, count(*) FILTER (f.county IS DISTINCT FROM CASE WHEN c_nationkey > 0 THEN 700 + c_nationkey * 10 % 100 + c_custkey % 3 END) AS disagree FROM f JOIN customer ON c_custkey = atom_id""")
+def county_disagreement(spark, d):
+    nation, key = F.col("c_nationkey"), F.col("c_custkey")
+    said = F.when(nation > 0, 700 + nation * 10 % 100 + key % 3).cast("bigint")
+    return I.disagreeing(I.plurality(_blocks(spark, d), "county"), X.read(spark, d, "customer").select(key.alias("atom_id"), said.alias("county")))
+
+
+@query("SELECT c_custkey AS id, greatest(0, least(3, floor(c_acctbal / 2000)))::BIGINT AS poly_id FROM customer")
+def district_of_block(spark, d):
+    p = X.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), F.lit(0.5).alias("y"))
+    return I.in_districts(p, _strips(spark), 1000.0)
+
+
+@query("""WITH b AS (SELECT c_nationkey AS atom_id, greatest(0, least(3, floor(c_acctbal / 2000)))::BIGINT AS poly_id, sum(c_custkey % 4)::BIGINT AS pop FROM customer WHERE c_custkey % 4 > 0 AND c_nationkey % 6 <> 1 GROUP BY ALL),
+m AS (SELECT atom_id, arg_min(poly_id, (-pop, poly_id)) AS poly_id FROM b GROUP BY atom_id)
+SELECT n_nationkey AS atom_id, coalesce(poly_id, greatest(0, least(3, (500 * n_nationkey - 1300) // 2000)))::BIGINT AS poly_id FROM nation LEFT JOIN m ON atom_id = n_nationkey""")
+def enacted_plan(spark, d):
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    b = X.read(spark, d, "customer").where(nation % 6 != 1).select(key.alias("id"), nation.alias("atom_id"), (key % 4).alias("pop"), F.col("c_acctbal").alias("x"), F.lit(0.5).alias("y"))
+    a = X.read(spark, d, "nation").select(F.col("n_nationkey").alias("atom_id"), (F.col("n_nationkey") * 500.0 - 1300.0).alias("x"), F.lit(0.25).alias("y"))
+    return I.enacted_plan(b, a, _strips(spark), 1000.0)
+
+
+@query(_with(CUSTOMER, CELLS) + "SELECT c.cell, CASE WHEN min(county) = max(county) THEN min(county) END AS outer_cell, min(county) = max(county) AS one FROM cell_of c JOIN atom USING (atom_id) GROUP BY c.cell")
+def nested_cells(spark, d):
+    i = X.customer(spark, d)
+    return C.nested(_cells(i), i.atom.select("atom_id", F.col("county").alias("cell"))).withColumnRenamed("outer", "outer_cell")
+
+
+@query(_with(CUSTOMER, CELLS) + "SELECT county AS cell, CASE WHEN min(c.cell) = max(c.cell) THEN min(c.cell) END AS outer_cell, min(c.cell) = max(c.cell) AS one FROM cell_of c JOIN atom USING (atom_id) GROUP BY county")
+def straddled_cells(spark, d):
+    i = X.customer(spark, d)
+    return C.nested(i.atom.select("atom_id", F.col("county").alias("cell")), _cells(i)).withColumnRenamed("outer", "outer_cell")
+
+
+@query("SELECT sum(floor(o_totalprice))::BIGINT AS blocks, (SELECT sum(floor(o_totalprice))::BIGINT FROM customer JOIN orders ON o_custkey = c_custkey) AS atoms FROM orders")
+def population_totals(spark, d):
+    atoms = X.read(spark, d, "customer").select(F.col("c_custkey").alias("atom_id"))
+    b = _blocks(spark, d)
+    return b.agg(F.sum("pop").alias("blocks")).join(I.atom_population(atoms, b).agg(F.sum("pop").alias("atoms")))
+
+
+@query(_with(NATION) + "SELECT u::BIGINT AS u, v::BIGINT AS v FROM edge")
+def polygon_adjacency_grid(spark, d):
+    x, y = F.col("x"), F.col("y")
+    corner = lambda i, j: F.struct((x + i).alias("x"), (y + j).alias("y"))
+    ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
+    return I.adjacency(X.nation(spark, d).atom.select(F.col("atom_id").cast("bigint").alias("poly_id"), ring.alias("ring")), 0.001, 0.5)
+
+
+PLANE = """w AS (SELECT atom_id, 1 AS cell, greatest(pop, 1)::DOUBLE AS w, x, y FROM pts),
+m AS (SELECT cell, count(*) AS n, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w) AS cxx,
+      sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w) AS cyy, sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w) AS cxy FROM w GROUP BY cell),
+ax AS (SELECT *, (cxx - cyy) / 2 + sqrt((cxx - cyy) * (cxx - cyy) / 4 + cxy * cxy) AS top FROM m),
+p AS (SELECT w.*, ax.n, ax.sw, round((x - mx) * top + (y - my) * cxy, 6) AS proj FROM w JOIN ax USING (cell)),
+o AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY proj, atom_id) AS i, sum(w) OVER (PARTITION BY cell ORDER BY proj, atom_id ROWS UNBOUNDED PRECEDING) AS cum FROM p),
+c AS (SELECT cell, least(greatest(min(i), 1), any_value(n) - 1) AS cut FROM o WHERE cum * 2 >= sw GROUP BY cell)"""
+POINTS = "pts AS (SELECT s_suppkey::INTEGER AS atom_id, (s_suppkey % 5)::BIGINT AS pop, (s_suppkey * 7 % 31)::DOUBLE AS x, (s_suppkey * 7 % 31 + s_suppkey * 11 % 17 * 2)::DOUBLE AS y FROM supplier)"
+
+
+def _plane(spark, d):
+    s = F.col("s_suppkey")
+    a = X.read(spark, d, "supplier").select(s.cast("int").alias("atom_id"), F.lit(None).cast("string").alias("geoid"), F.lit(1).alias("county"), (s % 5).cast("bigint").alias("pop"),
+                                            (s * 7 % 31).cast("double").alias("x"), (s * 7 % 31 + s * 11 % 17 * 2).cast("double").alias("y"))
+    n = X.nation(spark, d)
+    return Instance(a, n.vote, n.edge)
+
+
+@query(_with(POINTS, PLANE) + "SELECT atom_id, cell, (i > cut)::INTEGER AS side FROM o JOIN c USING (cell)")
+def median_split_plane(spark, d):
+    i = _plane(spark, d)
+    return C.median_split(i, i.atom.select("atom_id", F.lit(1).alias("cell")))
+
+
+def _level(n: int) -> str:
+    """SQL of the second split, of the cells that the first one leaves."""
+    out = PLANE.replace("1 AS cell", "2 + side AS cell").replace("FROM pts)", "FROM pts JOIN first USING (atom_id))")
+    for t in ("w", "m", "ax", "p", "o", "c"):
+        out = out.replace(f"\n{t} AS (", f"\n{t}{n} AS (").replace(f"FROM {t} ", f"FROM {t}{n} ").replace(f"FROM {t})", f"FROM {t}{n})").replace(f"JOIN {t} ", f"JOIN {t}{n} ")
+    return "w2 AS (" + out.removeprefix("w AS (").replace("SELECT w.*, ax.n, ax.sw", "SELECT w2.*, ax2.n, ax2.sw")
+
+
+@query(_with(POINTS, PLANE, "first AS (SELECT atom_id, (i > cut)::INTEGER AS side FROM o JOIN c USING (cell))", _level(2))
+       + """SELECT 0 AS level, 1::BIGINT AS node, atom_id FROM pts UNION ALL SELECT 1, 2 + side, atom_id FROM first UNION ALL SELECT 2, 2 * cell + (i > cut)::INTEGER, atom_id FROM o2 JOIN c2 USING (cell)""")
+def bisection_tree(spark, d):
+    i = _plane(spark, d)
+    return C.bisected(i, i.atom.select("atom_id", F.lit(1).alias("cell")), 2)
+
+
+NUMBERS = """m AS (SELECT * FROM merged WHERE cap = 1 AND eps = '1/100'),
+seat AS (SELECT DISTINCT state, 2 + substr(state, 2)::INTEGER % 4 AS k FROM m),
+b AS (SELECT m.*, k, """ + WIDTH + """ AS w FROM m JOIN seat USING (state) WHERE q <= k),
+f AS (SELECT state, party, k, g.n, g.d, coalesce(max(CASE WHEN lo * g.d >= g.n * 400 THEN q END), 0) AS f_lo, coalesce(max(CASE WHEN hi IS NULL OR g.n * 400 < hi * g.d THEN q END), 0) AS f_hi
+      FROM b CROSS JOIN (VALUES (0, 1), (1, 20), (1, 10)) g(n, d) GROUP BY ALL),
+r AS (SELECT a.k, a.k - z.f_lo AS ver_min, a.f_lo AS ver_max, a.k - z.f_hi AS lim_min, a.f_hi AS lim_max FROM f a JOIN f z ON a.state = z.state AND a.n = 0 AND z.n = 0 AND a.party = 'D' AND z.party = 'R'),
+en AS (SELECT state, party, q, 46 + (q * 3 + substr(state, 2)::INTEGER) % 9 AS share FROM b),
+ck AS (SELECT state, substr(state, 2)::INTEGER % 3 <> 0 AS in_regime, substr(state, 2)::INTEGER % 11 // 10 AS violations FROM seat),
+gp AS (SELECT q, 100 * (lo / 400.0::DOUBLE) + 50 - share AS gap FROM b JOIN en USING (state, party, q) WHERE lo > 0),
+ab AS (SELECT state, party, q, s - 10 + q AS free, s - 8 + q AS cells, s - 9 + q AS refined, (s - 14) / 400.0::DOUBLE AS search FROM (SELECT state, party, q, coalesce(hi, lo) + 3 * (q % 3) AS s FROM m WHERE coalesce(hi, lo) IS NOT NULL)),
+aj AS (SELECT q, 100 * ((least(cells, refined) - free) / 400.0::DOUBLE) AS loss, 100 * ((free - hi) / 400.0::DOUBLE) AS gain, CASE WHEN search >= 0 THEN 100 * (lo / 400.0::DOUBLE - search) END AS over
+       FROM b JOIN ab USING (state, party, q) WHERE lo IS NOT NULL OR free > 0),
+au AS (SELECT ['main', 'k2', 'stored'][o_orderkey % 3 + 1] AS name, CASE o_orderstatus WHEN 'F' THEN 'agree' WHEN 'O' THEN 'unknown' ELSE 'disagree' END AS verdict FROM orders)"""
+
+
+def _pairs(source: str, **values: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS metric, ({v})::DOUBLE AS value FROM {source}" for n, v in values.items())
+
+
+AUDITS = {f"{label}_{v or 'total'}": f"count(*) FILTER (name = '{n}'" + (f" AND verdict = '{v}')" if v else ")")
+          for n, label in (("main", "audit"), ("k2", "audit_k2"), ("stored", "stored")) for v in ("agree", "disagree", "unknown", "")}
+
+
+@query(_with(FACT, NUMBERS) + "SELECT metric, round(value, 6) AS value FROM (" + " UNION ALL ".join((
+    _pairs("seat", n_states="count(*)", seats="sum(k)"),
+    _pairs("b", brackets="count(*)", tight_brackets="count(*) FILTER (w <= 0.5 + 1e-9)", k2_brackets="count(*) FILTER (k = 2)", k2_tight="count(*) FILTER (k = 2 AND w <= 0.5 + 1e-9)",
+           **{f"median_k{i}": f"median(w) FILTER (k = {i})" for i in (3, 4, 5)}),
+    _pairs("f", F_cases="count(*)", F_exact="count(*) FILTER (f_lo = f_hi)", F_exact_k2="count(*) FILTER (f_lo = f_hi AND k = 2)", F_exact_k345="count(*) FILTER (f_lo = f_hi AND k > 2)"),
+    _pairs("r", D_verified_min="sum(ver_min)", D_verified_max="sum(ver_max)", D_limit_min="sum(lim_min)", D_limit_max="sum(lim_max)",
+           forced_states="count(*) FILTER (ver_min = ver_max AND ver_max = lim_min AND lim_min = lim_max)", R_majority_states="count(*) FILTER ((k - ver_min) * 2 > k)", D_majority_states="count(*) FILTER (ver_max * 2 > k)"),
+    _pairs("en", enacted_D="count(*) FILTER (party = 'D' AND share > 50)"),
+    _pairs("ck", enacted_in_regime="count(*) FILTER (in_regime)", enacted_checked="count(*)", enacted_violations="sum(violations)"),
+    _pairs("gp", enacted_below="count(*) FILTER (gap > 0)", enacted_gap_median="median(gap)", enacted_gap_q1_median="median(gap) FILTER (q = 1)"),
+    _pairs("aj", abl_nontrivial="count(*)", abl_quot_median="median(loss)", abl_quot_min="min(loss)", abl_quot_max="max(loss)", abl_finite="count(gain)", abl_improved="count(*) FILTER (gain > 0.05)",
+           abl_impr_median="median(gain)", abl_q1_median="median(gain) FILTER (q = 1)", abl_q1_min="min(gain) FILTER (q = 1 AND gain > 0.05)", abl_q1_max="max(gain) FILTER (q = 1)",
+           recom_cmp="count(over)", recom_cert_higher="count(*) FILTER (over > 0)", recom_median="median(over)", recom_min="min(over)", recom_max="max(over)"),
+    _pairs("au", **AUDITS),
+    _pairs("(SELECT * FROM best WHERE lo >= hi)", consistency_violations="count(*)"),
+    _pairs("(SELECT DISTINCT state, party, cap, eps FROM fact WHERE regime = 'feasible')", consistency_keys="count(*)"),
+)) + ")")
+def headline_numbers(spark, d):
+    m = _merged(spark, d).where("cap = 1 and eps = '1/100'")
+    seats, nth = _seats(m), F.substring("state", 2, 9).cast("int")
+    over = lambda by: F.struct((F.col("s") + by + F.col("q")).alias("n"), F.lit(400).cast("bigint").alias("d"))
+    a = m.withColumn("s", F.coalesce("hi.n", "lo.n") + F.col("q") % 3 * 3).where("s is not null")
+    a = a.select("state", "party", "q", over(-10).alias("free"), over(-8).alias("cells"), over(-9).alias("refined"), ((F.col("s") - 14) / 400).alias("search"))
+    enacted = m.join(seats, "state").where("q <= k").select("state", "party", "q", (46 + (F.col("q") * 3 + nth) % 9).alias("share"))
+    checks = seats.select("state", (nth % 3 != 0).alias("in_regime"), F.floor(nth % 11 / 10).alias("violations"))
+    verdict = F.when(F.col("o_orderstatus") == "F", "agree").when(F.col("o_orderstatus") == "O", "unknown").otherwise("disagree")
+    audits = X.read(spark, d, "orders").select(F.expr("array('main', 'k2', 'stored')[o_orderkey % 3]").alias("name"), verdict.alias("verdict"))
+    r = reports.headline_numbers(m, seats, grid(spark), enacted, checks, a, audits, X.bracket_facts(spark, d))
+    return r.select("metric", F.round("value", 6).alias("value"))

@@ -68,3 +68,28 @@ def test_components_of_chains_and_stars(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(0, 201), *range(300, 401)]], "atom_id int")
     got = {r.atom_id: r.label for r in G.components(nodes, spark.createDataFrame(edges, "u int, v int")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[i] == 300 for i in range(300, 400)) and got[400] == 400
+
+
+def test_nearest_polygon_against_brute_force(spark):
+    import math
+    import random
+
+    from planlens.operators import ingest as I
+
+    rng = random.Random(5)
+    rings = [(i, [(x, y), (x + rng.uniform(1, 40), y), (x, y + rng.uniform(1, 9))]) for i in range(12) for x, y in [(rng.uniform(-100, 100), rng.uniform(-100, 100))]]
+    points = [(i, rng.uniform(-300, 300), rng.uniform(-300, 300)) for i in range(150)] + [(900, None, 1.0)]
+
+    def far(p, ring):
+        best = math.inf
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            dx, dy = bx - ax, by - ay
+            t = min(1.0, max(0.0, ((p[1] - ax) * dx + (p[2] - ay) * dy) / (dx * dx + dy * dy)))
+            best = min(best, (p[1] - ax - t * dx) ** 2 + (p[2] - ay - t * dy) ** 2)
+        return best
+
+    polys = spark.createDataFrame(rings, "poly_id bigint, ring array<struct<x:double,y:double>>")
+    pts = spark.createDataFrame(points, "id bigint, x double, y double")
+    want = {p[0]: min(rings, key=lambda r: (far(p, r[1]), r[0]))[0] for p in points[:-1]} | {900: None}
+    assert {r.id: r.poly_id for r in I.nearest_polygon(pts, polys, 5.0).collect()} == want
+    assert {r.poly_id for r in I.nearest_polygon(pts, polys.limit(0), 5.0).collect()} == {None}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,38 +68,42 @@ def envelope_scalars(mass: DataFrame, cell_of: DataFrame) -> DataFrame:
         if_(neg).alias("zneg"), if_(pos).alias("zpos"))
 
 
-def ranked(d: DataFrame, keys: list[str], upper: bool = True, buckets: int | None = None) -> DataFrame:
-    """d (keys..., atom_id, pop > 0, mass) by density in each group: rank t and the sums of pop and mass before each row (x, v); ties by atom_id.
+def ranked(d: DataFrame, keys: list[str], by: Column, sums: dict[str, str], buckets: int | None = None) -> DataFrame:
+    """d (keys..., atom_id) with its rank t in each group by rising `by`, nulls first and ties by atom_id, and the sums of columns before each row (name: column).
 
-    No group is ranked in one task. Quantiles of its densities cut it into buckets; rows whose density is itself a
-    quantile, which may be many, lie apart and are cut by quantiles of their ids. The buckets' sums place them, and only
-    rows of one bucket are ranked together. Quantiles are approximate and decide only how the work is dealt; they are
-    written down, so that a task that runs again meets the same ones.
+    No group is ranked in one task. Quantiles of its values cut it into buckets; rows whose value is itself a quantile,
+    which may be many, lie apart and are cut by quantiles of their ids. The buckets' sums place them, and only rows of one
+    bucket are ranked together. Quantiles are approximate and decide only how the work is dealt; they are written down,
+    so that a task that runs again meets the same ones.
     """
     n = buckets or max(8, min(512, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     at = [i / n for i in range(1, n)]
-    d = d.withColumn("_r", F.col("mass") / F.col("pop") * (-1 if upper else 1))
-    quantiles = lambda c: F.array_distinct(F.percentile_approx(c, at))
+    kept = d.columns
+    d = d.withColumn("_r", by)
+    quantiles = lambda c: F.coalesce(F.array_distinct(F.percentile_approx(c, at)), F.array().cast(f"array<{d.schema[c].dataType.simpleString()}>"))
     cuts = cut(d.groupBy(*keys).agg(quantiles("_r").alias("_rs"), quantiles("atom_id").alias("_ids")))
     below = lambda a, c: F.size(F.filter(a, lambda v: v < F.col(c)))
-    hot = F.array_contains("_rs", F.col("_r"))
-    place = F.struct(below("_rs", "_r").alias("s"), hot.alias("hot"), F.when(hot, below("_ids", "atom_id")).otherwise(0).alias("i"))
+    hot = F.coalesce(F.array_contains("_rs", F.col("_r")), F.lit(False))
+    place = F.struct(F.when(F.col("_r").isNull(), -1).otherwise(below("_rs", "_r")).alias("s"), hot.alias("hot"), F.when(hot, below("_ids", "atom_id")).otherwise(0).alias("i"))
     d = d.join(cuts, keys).withColumn("_b", place).drop("_rs", "_ids")
+    parts = d.groupBy(*keys, "_b").agg(F.count("*").alias("_t"), *[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sums = d.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.sum("pop").alias("_x"), F.sum("mass").alias("_v"))
-    start = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    starts = sums.select(*keys, "_b", start("_n").alias("_n"), start("_x").alias("_x"), start("_v").alias("_v"))
+    starts = parts.select(*keys, "_b", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in ("t", *sums)])
     inside = W.partitionBy(*keys, "_b").orderBy("_r", "atom_id")
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = d.withColumn("t", F.row_number().over(inside) - 1).withColumn("x", F.sum("pop").over(upto) - F.col("pop")).withColumn("v", F.sum("mass").over(upto) - F.col("mass"))
-    d = d.join(starts, [*keys, "_b"])
-    return d.select(*keys, "atom_id", "pop", "mass", *[(F.col(f"_{a}") + F.col(b)).alias(b) for a, b in (("n", "t"), ("x", "x"), ("v", "v"))])
+    earlier = inside.rowsBetween(W.unboundedPreceding, -1)
+    d = d.select("*", (F.row_number().over(inside) - 1).alias("t"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(name) for name, c in sums.items()])
+    return d.join(starts, [*keys, "_b"]).select(*kept, *[(F.col(f"_{c}") + F.col(c)).alias(c) for c in ("t", *sums)])
+
+
+def _by_density(d: DataFrame, keys: list[str], upper: bool = True) -> DataFrame:
+    density = F.col("mass") / F.col("pop")
+    return ranked(d, keys, -density if upper else density, {"x": "pop", "v": "mass"})
 
 
 def knapsack_prefix(mass: DataFrame, cell_of: DataFrame, upper: bool = True) -> DataFrame:
     """Populated atoms of each cell and contest in order of density, with rank and the sums before each (x, v)."""
     d = mass.where("pop > 0").join(cell_of, "atom_id").select("cell", "contest", "atom_id", "pop", "mass")
-    return ranked(d, ["cell", "contest"], upper)
+    return _by_density(d, ["cell", "contest"], upper)
 
 
 def knapsack_tangents(mass: DataFrame, cell_of: DataFrame, upper: bool = True, points: int = 10) -> DataFrame:
@@ -138,10 +142,10 @@ def median_split(inst: Instance, cell_of: DataFrame) -> DataFrame:
     m = m.withColumn("ax", ax).withColumn("ay", ay)
     proj = F.round((x - F.col("mx")) * F.col("ax") + (y - F.col("my")) * F.col("ay"), 6)
     p = d.join(m, "cell").withColumn("proj", proj)
-    w = W.partitionBy("cell").orderBy("proj", "atom_id")
-    p = p.withColumn("i", F.row_number().over(w)).withColumn("cum", F.sum("w").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    cut = p.where(F.col("cum") * 2 >= F.col("sw")).groupBy("cell").agg(F.least(F.greatest(F.min("i"), F.lit(1)), F.first("n") - 1).alias("cut"))
-    return p.join(cut, "cell").select("atom_id", "cell", (F.col("i") > F.col("cut")).cast("int").alias("side"))
+    p = ranked(p.select("cell", "atom_id", "w", "n", "sw", "proj"), ["cell"], F.col("proj"), {"before": "w"})
+    p = p.withColumn("i", F.col("t") + 1).withColumn("cum", F.col("before") + F.col("w"))
+    ends = p.where(F.col("cum") * 2 >= F.col("sw")).groupBy("cell").agg(F.least(F.greatest(F.min("i"), F.lit(1)), F.first("n") - 1).alias("cut"))
+    return p.join(ends, "cell").select("atom_id", "cell", (F.col("i") > F.col("cut")).cast("int").alias("side"))
 
 
 def bisected(inst: Instance, cell_of: DataFrame, levels: int, leaf: int = 1) -> DataFrame:
@@ -174,7 +178,7 @@ def geography_free(inst: Instance, regime_of, grid: DataFrame, k: int, eps: tupl
     mass = (F.col("m_d") - 2 * F.col("m_n")) * F.col("p") - (F.col("m_d") + 2 * F.col("m_n")) * F.col("o")
     d = d.withColumn("mass", mass)
     zero = d.groupBy("m_n", "m_d").agg(F.sum(F.when(F.col("pop") == 0, F.greatest("mass", F.lit(0))).otherwise(F.lit(0))).alias("z"), F.sum("pop").alias("total"))
-    e = ranked(d.where("pop > 0").select("m_n", "m_d", "atom_id", "pop", "mass"), ["m_n", "m_d"])
+    e = _by_density(d.where("pop > 0").select("m_n", "m_d", "atom_id", "pop", "mass"), ["m_n", "m_d"])
     lo, hi = safety.pop_window(F.col("total"), F.lit(k), eps)
     q = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("q")
     r = zero.withColumn("lo", lo).withColumn("hi", hi).select("*", q)
@@ -188,6 +192,15 @@ def geography_free(inst: Instance, regime_of, grid: DataFrame, k: int, eps: tupl
     return r.join(ok, ["m_n", "m_d", "q"], "left").select("q", "m_n", "m_d", F.coalesce("ok", F.lit(False)).alias("possible"))
 
 
+def geography_free_of_all(inst: Instance, party: str, contests: list[str], grid: DataFrame, k: int, eps: tuple[int, int]) -> DataFrame:
+    """As geography_free for districts that are safe in every contest: a margin is excluded where any one contest excludes it, a bound that may be wider than one over all contests at once."""
+    every = [geography_free(inst, (party, c), grid, k, eps) for c in contests]
+    both = every[0]
+    for one in every[1:]:
+        both = both.unionByName(one)
+    return both.groupBy("q", "m_n", "m_d").agg(F.bool_and("possible").alias("possible"))
+
+
 def first_excluded(possible: DataFrame) -> DataFrame:
     """q and the least margin of the grid that geography_free excludes (null if none)."""
     m = F.struct("m_n", "m_d")

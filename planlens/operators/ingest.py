@@ -120,34 +120,41 @@ def filled(atoms: DataFrame, covered: DataFrame, width: float = 1.0) -> DataFram
     return covered.select("atom_id", "county").unionByName(missing.where("own is not null").select("atom_id", F.col("own").alias("county"))).unionByName(near)
 
 
-def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Even-odd test of points against one ring of corners."""
-    x1, y1 = ring[:, 0], ring[:, 1]
-    x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
+def _inside(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
+    """Even-odd test of points against the corners of one or several rings, so that holes and separate parts count."""
+    x1, y1 = (np.concatenate([r[:, i] for r in rings]) for i in (0, 1))
+    x2, y2 = (np.concatenate([np.roll(r[:, i], -1) for r in rings]) for i in (0, 1))
     over = (y1[None] > y[:, None]) != (y2[None] > y[:, None])
     with np.errstate(divide="ignore", invalid="ignore"):
         at = (x2 - x1)[None] * (y[:, None] - y1[None]) / (y2 - y1)[None] + x1[None]
     return (over & (x[:, None] < at)).sum(axis=1) % 2 == 1
 
 
+def _rings(polygons: DataFrame):
+    return F.col("rings") if "rings" in polygons.columns else F.array("ring")
+
+
 def within(points: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
-    """id, poly_id: the least polygon that holds each point (null if none). polygons: poly_id, ring array<struct<x,y>>.
+    """id, poly_id: the least polygon that holds each point (null if none).
+
+    polygons: poly_id and ring array<struct<x,y>>, or rings, an array of those, for polygons with holes or several parts.
 
     Points and polygons meet in the grid cells that a polygon's box covers; the exact test runs on those pairs.
     """
     ship(points.sparkSession)
-    box = polygons.select("poly_id", "ring", F.array_min("ring.x").alias("x0"), F.array_max("ring.x").alias("x1"), F.array_min("ring.y").alias("y0"), F.array_max("ring.y").alias("y1"))
+    rings = polygons.select("poly_id", _rings(polygons).alias("rings")).withColumn("all", F.flatten("rings"))
+    box = rings.select("poly_id", "rings", F.array_min("all.x").alias("x0"), F.array_max("all.x").alias("x1"), F.array_min("all.y").alias("y0"), F.array_max("all.y").alias("y1"))
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
     cover = box.withColumn("i", cells("x0", "x1")).withColumn("j", cells("y0", "y1"))
     p = points.select("id", "x", "y", F.floor(F.col("x") / width).alias("i"), F.floor(F.col("y") / width).alias("j"))
-    pairs = p.join(cover, ["i", "j"]).where("x between x0 and x1 and y between y0 and y1").select("id", "x", "y", "poly_id", "ring")
+    pairs = p.join(cover, ["i", "j"]).where("x between x0 and x1 and y between y0 and y1").select("id", "x", "y", "poly_id", "rings")
 
     def test(batches):
         for b in batches:
             keep = []
             for _, g in b.groupby("poly_id"):
-                ring = np.array([(q["x"], q["y"]) for q in g["ring"].iloc[0]])
-                keep.append(g[_inside(g["x"].to_numpy(), g["y"].to_numpy(), ring)][["id", "poly_id"]])
+                rings = [np.array([(q["x"], q["y"]) for q in r]) for r in g["rings"].iloc[0] if len(r)]
+                keep.append(g[_inside(g["x"].to_numpy(), g["y"].to_numpy(), rings)][["id", "poly_id"]])
             yield pd.concat(keep) if keep else b[["id", "poly_id"]].iloc[:0]
 
     kind = f"id {points.schema['id'].dataType.simpleString()}, poly_id {polygons.schema['poly_id'].dataType.simpleString()}"
@@ -156,7 +163,7 @@ def within(points: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame, width: float) -> DataFrame:
-    """id, poly_id: the polygon (poly_id, ring) whose ring runs nearest each point (id, x, y), ties to the least poly_id.
+    """id, poly_id: the polygon (poly_id, ring or rings) whose border runs nearest each point (id, x, y), ties to the least poly_id.
 
     Edges are cut into pieces no longer than the cell width and meet the points in the cells of a grid; points whose best
     lies within a cell width are settled, the others go on with twice the width. Null where the point has no place or
@@ -164,7 +171,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, width: float) -> Dat
     """
     placed = F.col("x").isNotNull() & F.col("y").isNotNull()
     edge = F.explode(F.transform("ring", lambda p, i: F.struct(p.alias("a"), F.element_at("ring", (i + 1) % F.size("ring") + 1).alias("b"))))
-    e = polygons.select("poly_id", edge.alias("e")).select("poly_id", *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
+    e = polygons.select("poly_id", F.explode(_rings(polygons)).alias("ring")).select("poly_id", edge.alias("e")).select("poly_id", *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
     e = e.withColumn("len", F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2))
     longest = e.agg(F.max("len")).first()[0]
     out = points.where(~placed if longest is not None else F.lit(True)).select("id", F.lit(None).cast(polygons.schema["poly_id"].dataType).alias("poly_id"))

@@ -84,6 +84,11 @@ def national(bounds: DataFrame) -> DataFrame:
     return bounds.groupBy("m_n", "m_d").agg(F.sum("f_lo").alias("f_lo"), F.sum("f_hi").alias("f_hi"))
 
 
+def wide(df: DataFrame, by: list[str], over, value: str, names: list[str]) -> DataFrame:
+    """by... and a column for each name: the value where `over` has it, null where none does; names not listed are left out."""
+    return df.groupBy(*by).agg(*[F.max(F.when(over == n, F.col(value))).alias(f"c{i}") for i, n in enumerate(names)])
+
+
 def latex_rows(df: DataFrame) -> DataFrame:
     """line: each row as a table row."""
     return df.select(F.concat(F.concat_ws(" & ", *[F.coalesce(F.col(c).cast("string"), F.lit("--")) for c in df.columns]), F.lit(r" \\")).alias("line"))

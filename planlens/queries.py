@@ -12,12 +12,13 @@ from planlens.functions import safety
 from planlens.model import Instance, Regime
 from planlens.operators import brackets as B
 from planlens.operators import cells as C
+from planlens.operators import curves as K
 from planlens.operators import decide as DC
 from planlens.operators import districts as D
 from planlens.operators import graphs as G
 from planlens.operators import ingest as I
 from planlens.operators import search as S
-from planlens.plans import reports, verify
+from planlens.plans import lower, reports, verify
 from planlens.sources import fixtures as X
 from planlens.sources import instances as IN
 from planlens.sources import runs as RU
@@ -316,7 +317,7 @@ PREFIX = """prefix AS (SELECT cell, contest, atom_id, pop, mass, row_number() OV
 @query(_with(CUSTOMER, CELLS, MASS, PREFIX) + "SELECT cell, contest, atom_id, pop, mass, t::INTEGER AS t, x, v FROM prefix")
 def knapsack_prefix(spark, d):
     i = X.customer(spark, d)
-    return C.knapsack_prefix(C.with_mass(i, ONE), _cells(i))
+    return C.knapsack_prefix(C.with_mass(i, ONE), _cells(i)).withColumn("t", F.col("t").cast("int"))
 
 
 @query(_with(CUSTOMER, CELLS, MASS, PREFIX) + """, s AS (SELECT p.*, sum(pop) OVER g AS total, max(t) OVER g AS last, lag(x) OVER (PARTITION BY cell, contest ORDER BY t) AS prev FROM prefix p WINDOW g AS (PARTITION BY cell, contest)),
@@ -325,7 +326,7 @@ SELECT cell, contest, t::INTEGER AS t, pop AS a, mass AS b, (pop * (z + v) - mas
 WHERE t = 0 OR t = last OR (x * 9)::BIGINT // total::BIGINT > (prev * 9)::BIGINT // total::BIGINT""")
 def knapsack_tangents(spark, d):
     i = X.customer(spark, d)
-    return C.knapsack_tangents(C.with_mass(i, ONE), _cells(i))
+    return C.knapsack_tangents(C.with_mass(i, ONE), _cells(i)).withColumn("t", F.col("t").cast("int"))
 
 
 @query(_with(NATION) + """, g AS (SELECT unnest(range(-10, 11)) AS m_n, 100 AS m_d), m AS (SELECT m_n, m_d, atom_id, pop, (m_d - 2 * m_n) * d - (m_d + 2 * m_n) * r AS mass FROM atom JOIN vote USING (atom_id) CROSS JOIN g WHERE contest = 'A'),
@@ -1081,3 +1082,86 @@ def headline_numbers(spark, d):
     audits = X.read(spark, d, "orders").select(F.expr("array('main', 'k2', 'stored')[o_orderkey % 3]").alias("name"), verdict.alias("verdict"))
     r = reports.headline_numbers(m, seats, grid(spark), enacted, checks, a, audits, X.bracket_facts(spark, d))
     return r.select("metric", F.round("value", 6).alias("value"))
+
+
+# Ensembles of plans, bounds over several contests, lower ends by search, wide report lines
+
+CURVES = "curve AS (SELECT plan, s AS swing, count(*) FILTER (margin + s / 100.0::DOUBLE >= 0) AS seats FROM margins CROSS JOIN (SELECT unnest(range(-20, 21)) AS s) GROUP BY ALL), mean AS (SELECT swing, avg(seats) AS mu FROM curve GROUP BY swing)"
+
+
+def _curves(spark, d):
+    plans = X.nation_plans(spark, d)
+    curve = D.seat_curve(D.robust_margins(X.nation(spark, d), plans, BOTH), range(-20, 21))
+    return curve, K.mean_curve(curve, plans.select("plan").distinct().withColumn("weight", F.lit(1.0)))
+
+
+@query(_with(NATION, STATS, CURVES) + "SELECT swing::INTEGER AS swing, round(mu, 6) AS mu FROM mean")
+def ensemble_mean_curve(spark, d):
+    return _curves(spark, d)[1].select("swing", F.round("mu", 6).alias("mu"))
+
+
+@query(_with(NATION, STATS, CURVES) + """, o AS (SELECT plan, (seats - mu) / 5 AS off FROM curve JOIN mean USING (swing))
+SELECT plan, round(avg(off), 6) AS gamma, round(sqrt(avg(off * off)), 6) AS g FROM o GROUP BY plan""")
+def ensemble_distances(spark, d):
+    r = K.distances(*_curves(spark, d), 5)
+    return r.select("plan", F.round("gamma", 6).alias("gamma"), F.round("g", 6).alias("g"))
+
+
+FLOOR = _with(NATION, STATS, CURVES) + "SELECT round(sqrt(avg((mu - round_even(mu, 0)) * (mu - round_even(mu, 0)))) / 5, 9) AS floor FROM mean"
+
+
+@query(FLOOR)
+def pointwise_floor(spark, d):
+    return K.pointwise_floor(_curves(spark, d)[1], 5).select(F.round("floor", 9).alias("floor"))
+
+
+@query(FLOOR)  # the mean of rising curves rises, and then the nearest whole numbers rise too
+def integrality_floor(spark, d):
+    return K.integrality_floor(_curves(spark, d)[1], 5).select(F.round("floor", 9).alias("floor"))
+
+
+@query(_with(NATION) + """, c AS (SELECT a.plan, count(*) FILTER (a.district <> b.district) AS n FROM edge JOIN plan a ON a.atom_id = u JOIN plan b ON b.atom_id = v AND a.plan = b.plan GROUP BY a.plan),
+w AS (SELECT plan, exp(-1.0::DOUBLE * (n - (SELECT min(n) FROM c))) AS w FROM c) SELECT plan, round(1.0::DOUBLE / (SELECT count(*) FROM w), 9) AS uniform, round(w / (SELECT sum(w) FROM w), 9) AS cuts FROM w""")
+def ensemble_weights(spark, d):
+    w = K.weights(X.nation(spark, d), X.nation_plans(spark, d))
+    return w.select("plan", F.round("uniform", 9).alias("uniform"), F.round("cuts", 9).alias("cuts"))
+
+
+@query()
+def spanning_trees(spark, d):
+    return K.spanning_trees(X.nation(spark, d), X.nation_plans(spark, d))
+
+
+@query()
+def expected_seat_curve(spark, d):
+    return K.expected_curve(D.robust_margins(X.nation(spark, d), X.nation_plans(spark, d), BOTH), range(-20, 21), 0.05)
+
+
+@query(f"SELECT q, m_n, m_d, bool_and(possible) AS possible FROM (({ORACLE['geofree_bound']}) UNION ALL ({ORACLE['geofree_bound'].replace("contest = 'A'", "contest = 'B'")})) GROUP BY ALL")
+def geofree_bound_of_all(spark, d):
+    return C.geography_free_of_all(X.nation(spark, d), "D", ["A", "B"], grid(spark, FINE), 5, (1, 5))
+
+
+@query()
+def sigma_search(spark, d):
+    return lower.sigma_search(X.nation(spark, d), Regime("D", (0, 1), (1, 5), ("A",), 8), 3, seeds=3, steps=40)
+
+
+@query()
+def best_lower_bound(spark, d):
+    return lower.best_lower_bound(X.nation(spark, d), Regime("D", (0, 1), (1, 5), ("A",), None), 3, seeds=3, steps=40)
+
+
+@query(f"""WITH c AS ({ORACLE['capacity_report']}) SELECT state || ' & ' || party || ' & ' || max(seats) FILTER (m_n = 0) || ' & ' || max(seats) FILTER (m_d = 20) || ' & ' || max(seats) FILTER (m_d = 10) || ' \\\\' AS line
+FROM c WHERE cap = 1 AND eps = '1/100' GROUP BY state, party""")
+def latex_capacity(spark, d):
+    c = reports.capacity(_merged(spark, d), grid(spark)).where("cap = 1 and eps = '1/100'")
+    return reports.latex_rows(reports.wide(c, ["state", "party"], F.concat_ws("/", "m_n", "m_d"), "seats", ["0/1", "1/20", "1/10"]))
+
+
+@query(f"""WITH c AS ({ORACLE['spectrum_report_all']}) SELECT state || ' & ' || party || ' & ' || """ + " || ' & ' || ".join(
+    f"coalesce(max(bracket || CASE WHEN wide THEN '$^\\dagger$' ELSE '' END) FILTER (q = {i}), '--')" for i in range(1, 6)) + " || ' \\\\' AS line FROM c WHERE cap = 1 AND eps = '1/100' GROUP BY state, party")
+def latex_spectrum(spark, d):
+    c = reports.spectrum(_merged(spark, d)).where("cap = 1 and eps = '1/100'")
+    c = c.withColumn("shown", F.concat("bracket", F.when(F.col("wide"), r"$^\dagger$").otherwise("")))
+    return reports.latex_rows(reports.wide(c, ["state", "party"], F.col("q").cast("string"), "shown", [str(i) for i in range(1, 6)]))

@@ -51,3 +51,38 @@ def test_instances_and_plans(spark, tmp_path):
     want = hashlib.sha256(np.array(d, "<i2").tobytes()).hexdigest()[:16]
     assert instances.plan_hashes(p).first().plan_hash == want == instances.plan_hash(d)
     assert instances.from_archive(spark.createDataFrame([(want, 1)], "plan_hash string, q int"), p).count() == 9
+
+
+def test_zipped_shapefile_with_a_hole(spark, tmp_path):
+    import struct
+    import zipfile
+
+    from planlens.operators import ingest as I
+    from planlens.sources import shapefiles
+
+    square = lambda a, b: [(a, a), (a, b), (b, b), (b, a), (a, a)]
+
+    def polygon(rings):
+        pts = [p for r in rings for p in r]
+        starts = [sum(map(len, rings[:i])) for i in range(len(rings))]
+        return struct.pack("<i4d2i", 5, 0, 0, 1, 1, len(rings), len(pts)) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in pts)
+
+    bodies = [polygon([square(0.0, 10.0), square(4.0, 6.0)]), struct.pack("<i", 0), polygon([square(20.0, 30.0)])]
+    shp = bytes(100) + b"".join(struct.pack(">2i", i + 1, len(b) // 2) + b for i, b in enumerate(bodies))
+    field = lambda n, t, w: n.encode().ljust(11, b"\0") + t + bytes(4) + bytes([w, 0]) + bytes(14)
+    names, codes = ["Añasco", "", "Two"], ["001", "002", "003"]
+    head = 32 + 2 * 32 + 1
+    dbf = struct.pack("<4BIHH", 3, 120, 1, 1, 3, head, 1 + 10 + 3) + bytes(20) + field("NAME", b"C", 10) + field("CODE", b"C", 3) + b"\r"
+    for n, c in zip(names, codes):
+        raw = n.encode()
+        dbf += b" " + raw + b" " * (10 - len(raw)) + c.encode()
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for end, data in ((".shp", shp), (".dbf", dbf), (".cpg", b"UTF-8")):
+            z.writestr("folder/Places" + end, data)
+    rows = shapefiles.read(spark, str(tmp_path / "*.zip")).orderBy("rec").collect()
+    assert [(r.layer, r.rec, r.attributes) for r in rows] == [("Places", i, {"NAME": n or None, "CODE": c}) for i, (n, c) in enumerate(zip(names, codes))]
+    assert [len(r.rings) if r.rings is not None else None for r in rows] == [2, None, 1] and len(rows[0].rings[0]) == 4
+    polys = shapefiles.read(spark, str(tmp_path / "*.zip")).where("rings is not null").withColumnRenamed("rec", "poly_id")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 25.0, 21.0), (4, 15.0, 15.0), (5, 19.0, 25.0)], "id int, x double, y double")
+    assert {r.id: r.poly_id for r in I.within(points, polys, 3.0).collect()} == {1: 0, 2: None, 3: 2, 4: None, 5: None}
+    assert {r.id: r.poly_id for r in I.in_districts(points, polys, 3.0).collect()} == {1: 0, 2: 0, 3: 2, 4: 0, 5: 2}

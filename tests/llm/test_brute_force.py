@@ -209,6 +209,57 @@ def test_unlike_texts_with_null_or_shared_ids_stay(spark):
     assert sorted(kept, key=repr) == sorted([(None, a), (None, None), (6, c), (6, d), (8, b + " zz")], key=repr)
 
 
+def test_no_link_is_left_out_of_short_texts(spark):
+    w = prose(31, 400, 4000).split()
+    texts = []
+    for n in (2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14, 16, 20, 30):  # evenly spread edits leave no shingle of five words
+        base = [f"{x}{n}" for x in w[:n]]
+        m = int(np.ceil(near_dup.least_common(n, n)))
+        cut = {n * (2 * k + 1) // (2 * (n - m)) for k in range(n - m)}
+        texts += [" ".join(base), " ".join("zz" if i in cut else x for i, x in enumerate(base)), " ".join([*base[: n // 2], "yy", *base[n // 2 :]])]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.class_id for x in near_dup.op2(df).collect()}
+    assert partition(range(len(texts)), classes_of(texts)) == partition(got, got.values())
+
+
+@pytest.mark.parametrize("block, most", [(64, 1_000_000), (3, 1500)])
+def test_no_link_is_left_out_of_large_groups(spark, block, most, monkeypatch):
+    """Links that no sketch and no lead finds: evenly spread edits, in texts that mostly are one passage."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "AT_MOST", most)
+    passage, texts = prose(41, 70, 3000).split(), []
+    for k in range(40):
+        own = prose(4000 + k, 20, 2000).split()
+        texts.append(passage + own)
+        if k % 4 == 0:
+            texts.append([f"q{k}" if i % 10 == 4 else x for i, x in enumerate(passage + own)])
+    texts = [" ".join(t) for t in texts]
+    want = classes_of(texts)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.class_id for x in near_dup.op2(df).collect()}
+    assert len(set(want)) == 40 and partition(range(len(texts)), want) == partition(got, got.values())
+    kept = {r.doc_id for r in near_dup.stage(spark, df, "").collect()}
+    assert kept == set(got.values())
+
+
+def test_texts_alike_share_the_least_number_of_grams():
+    r = random.Random(5)
+    for gram in near_dup.ROUNDS:
+        for a in range({1: 1, 2: 2, 3: near_dup.SHORT}[gram], 300):
+            b = np.arange(max(1, -(-a * 4 // 5)), a * 5 // 4 + 1)
+            m = near_dup.least_common(a, b)
+            some = (2 * gram - 1) * m - (gram - 1) * (a + b + 1)
+            assert 1 <= near_dup.asked(a, gram) <= near_dup.least_shared(a, gram) <= some[m <= np.minimum(a, b)].min()
+    for _ in range(300):
+        a = [r.choice("abcdefgh") for _ in range(r.randint(12, 60))]
+        b = [r.choice("xyz") if r.random() < 0.05 else x for x in a if r.random() > 0.06]
+        m = lcs(a, b)
+        if m / (len(a) + len(b) - m) >= 0.8:
+            for g in near_dup.ROUNDS:
+                runs = [Counter(tuple(x[i : i + g]) for i in range(len(x) - g + 1)) for x in (a, b)]
+                assert (runs[0] & runs[1]).total() >= max(near_dup.least_shared(len(x), g) for x in (a, b) if g < 3 or len(x) >= near_dup.SHORT)
+
+
 # 3: mixing
 
 

@@ -242,6 +242,69 @@ def test_no_link_is_left_out_of_large_groups(spark, block, most, monkeypatch):
     assert kept == set(got.values())
 
 
+def test_few_frequent_grams_open_no_text(spark, monkeypatch):
+    """A passage that many texts hold, but none holds enough of, sends no text to all with all; links across it are found."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "_blocks", lambda *_: pytest.fail("texts were compared all with all"))
+    passage, texts = prose(51, 14, 3000).split(), []
+    for k in range(30):
+        own = prose(5000 + k, 58, 4000).split()
+        texts.append(own[:20] + passage + own[20:])
+        if k % 5 == 0:
+            texts.append([f"q{k}" if i % 10 == 4 else x for i, x in enumerate(texts[-1])])
+    texts = [" ".join(t) for t in texts]
+    want = classes_of(texts)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.class_id for x in near_dup.op2(df).collect()}
+    assert len(set(want)) == 30 and partition(range(len(texts)), want) == partition(got, got.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_where_links_need_frequent_grams(spark, seed, monkeypatch):
+    """Texts of few phrases: what a pair shares lies partly in grams that more than BLOCK texts hold."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "AT_MOST", 3000)
+    r = random.Random(seed)
+    phrases, texts = [prose(600 + i, 9, 3000).split() for i in range(30)], []
+    for k in range(60):
+        text = [w for p in r.sample(phrases, r.randint(1, 6)) for w in p] + prose(7000 + 100 * seed + k, r.randint(0, 30), 4000).split()
+        texts.append(text)
+        for e in range(2):
+            step, at = r.randint(9, 14), r.randint(0, 8)
+            texts.append([f"q{k}x{e}" if i % step == at else x for i, x in enumerate(text)])
+    texts = [" ".join(t) for t in texts]
+    want = classes_of(texts)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.class_id for x in near_dup.op2(df).collect()}
+    assert partition(range(len(texts)), want) == partition(got, got.values())
+
+
+def test_words_are_what_split_gives():
+    r = random.Random(3)
+    texts = ["", " ", "a", "é𝄞 日本語 \x1c x\x00 y\x0b\x0cz\x85q", "x" * 255 + " " + "x" * 256 + " " + "x" * 257 + " " + "y" * 5000, " a b ", "\ud800 q"]
+    texts += ["".join(r.choice("ab \n\tcdefgh") for _ in range(r.randint(0, 90))) for _ in range(500)] + [""]
+    flat, first = near_dup.words(texts)
+    split, names = [t.encode("utf-8", "replace").split() for t in texts], {}
+    assert [len(x) for x in split] == np.diff(first).tolist()
+    assert all(names.setdefault(w, h) == h for w, h in zip((w for x in split for w in x), flat.tolist(), strict=True))
+    assert len(set(names.values())) == len(names)
+    assert len(near_dup.words([])[0]) == 0
+
+
+def test_bags_leave_out_no_pair():
+    r, ruled_out = random.Random(11), 0
+    for _ in range(400):
+        a = [r.choice("abcdefgh") + str(r.randint(0, 40)) for _ in range(r.choice([1, 4, 9, 60, 400, 3000]))]
+        b = [r.choice("xyz") if r.random() < 0.08 else x for x in a if r.random() > 0.05] or ["a"]
+        x, first = near_dup.words([" ".join(a), " ".join(b)])
+        at = near_dup.bags(x, first)
+        ok = near_dup.enough_in_bags(at[:1], at[1:], np.array([len(a)]), np.array([len(b)]))[0]
+        like = near_dup.similarity(x[: len(a)], x[len(a) :]) >= 0.8
+        assert ok or not like
+        ruled_out += not ok
+    assert ruled_out > 50
+
+
 def test_texts_alike_share_the_least_number_of_grams():
     r = random.Random(5)
     for gram in near_dup.ROUNDS:

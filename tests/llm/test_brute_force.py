@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -13,9 +14,10 @@ from fractions import Fraction
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from planlens.llm import language_id, mixing, near_dup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_files, topk
+from planlens.llm import graph, language_id, mixing, near_dup, packing, quality_rules, secret_scan, substring_dedup, token_counts, token_files, topk
 from planlens.llm.suffix_array import suffix_array
 
 from .conftest import DOCS, LONG, prose
@@ -280,6 +282,56 @@ def test_classes_where_links_need_frequent_grams(spark, seed, monkeypatch):
     assert partition(range(len(texts)), want) == partition(got, got.values())
 
 
+def test_links_are_found_by_further_rounds(spark, monkeypatch):
+    """Where too many words would go to the comparison all with all, shorter grams come before; components by rounds of stars."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "ALL_PAIRS", 0)
+    monkeypatch.setattr(graph, "FEW", 0)
+    passage, texts = prose(61, 70, 3000).split(), []
+    for k in range(30):
+        texts.append(passage + prose(8000 + k, 20, 2000).split())
+        if k % 3 == 0:
+            texts.append([f"q{k}" if i % 10 == 4 else x for i, x in enumerate(texts[-1])])
+    texts = [" ".join(t) for t in texts]
+    want = classes_of(texts)
+    got = {x.doc_id: x.class_id for x in near_dup.op2(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert len(set(want)) == 30 and partition(range(len(texts)), want) == partition(got, got.values())
+
+
+def test_frequent_grams_give_a_row_a_text():
+    """Not one for each gram and holder, nor pairs of the holders."""
+    texts = [prose(71, 60, 3000) + " " + prose(9000 + k, 20, 3000) for k in range(200)]
+    known = near_dup.rarity(texts, 3)
+    packed = {g: (zlib.compress(known[0].tobytes()), zlib.compress(known[1].tobytes()), known[2]) for g in (2, 3)}
+    rows = pd.concat(near_dup._keyed(3, packed, 1)([pd.DataFrame({"node": range(200), "component": range(200), "text": texts})]))
+    got = near_dup._sharing(3, 64)(rows)
+    held = got[got["b"].isna()]
+    assert len(got) < 400 and sorted(held["a"]) == list(range(200)) and (held["shared"] >= 20).all()
+
+
+def test_the_driver_counts_no_grams(spark, monkeypatch):
+    driver, rarity = os.getpid(), near_dup.rarity
+
+    def elsewhere(*x):
+        assert os.getpid() != driver
+        return rarity(*x)
+
+    monkeypatch.setattr(near_dup, "rarity", elsewhere)
+    df = spark.createDataFrame([(k, prose(81 + k, 40), None, None, None) for k in range(5)], DOCS)
+    assert len({r.class_id for r in near_dup.op2(df).collect()}) == 5
+
+
+def test_components_in_one_task_and_by_stars(spark, monkeypatch):
+    r = random.Random(4)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(1000, x) for x in range(1001, 1040)] + [(r.randint(2000, 2200), r.randint(2000, 2200)) for _ in range(120)] + [(5, 5), (7, 6)]
+    df, got = spark.createDataFrame(edges, "a long, b long"), []
+    for few in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        got.append({x.node: x.component for x in graph.components(df).collect()})
+    assert got[0] == got[1] and all(got[0][a] == got[0][b] for a, b in edges if a != b)
+    assert graph.components(df.where("a < 0")).count() == 0
+
+
 def test_words_are_what_split_gives():
     r = random.Random(3)
     texts = ["", " ", "a", "é𝄞 日本語 \x1c x\x00 y\x0b\x0cz\x85q", "x" * 255 + " " + "x" * 256 + " " + "x" * 257 + " " + "y" * 5000, " a b ", "\ud800 q"]

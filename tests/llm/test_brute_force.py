@@ -309,6 +309,34 @@ def test_frequent_grams_give_a_row_a_text():
     assert len(got) < 400 and sorted(held["a"]) == list(range(200)) and (held["shared"] >= 20).all()
 
 
+def test_grams_take_few_bytes_and_lone_ones_make_no_rows():
+    """A text's node, component and length go once with all its grams of a bin, not with each."""
+    texts = [prose(9500 + k, 400, 100_000) for k in range(60)]
+    known = near_dup.rarity(texts, 3)
+    packed = {g: (zlib.compress(known[0].tobytes()), zlib.compress(known[1].tobytes()), known[2]) for g in (2, 3)}
+    for bins, most in ((1, 4), (5, 5)):
+        rows = pd.concat(near_dup._keyed(3, packed, bins)([pd.DataFrame({"node": range(60), "component": range(60), "text": texts})]))
+        size = sum(len(x) for c in rows.columns if c != "bin" for x in rows[c])
+        assert len(rows) == bins and 60 * 400 < size < most * 60 * 400
+        assert sum(len(near_dup._sharing(3, 64)(d)) for _, d in rows.groupby("bin")) == 0
+
+
+def test_texts_are_picked_without_a_shuffle_of_them(spark):
+    """Whatever the number of nodes that name them, and where nothing is small enough for Spark to broadcast by itself."""
+    ids = [0, 1, 2, 7, 8, 9, 32767, 32768, 32769, 65536, 65537, 1 << 33, (1 << 33) + 1, (1 << 33) + 32768, (5 << 33) + 12345]
+    rows = spark.createDataFrame([(i, f"text {i}") for i in ids], "node long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for k in range(4):
+            pick = random.Random(k).sample(ids, 7 if k else 0)
+            got = near_dup._only(rows, spark.createDataFrame([(i,) for i in pick + pick], "node long"))
+            assert sorted((r.node, r.text) for r in got.collect()) == sorted((i, f"text {i}") for i in pick)
+            assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_the_driver_counts_no_grams(spark, monkeypatch):
     driver, rarity = os.getpid(), near_dup.rarity
 
